@@ -52,15 +52,14 @@ def ne(a, b) -> Column:
 
 
 def denan(x) -> Column:
-    x = _col(x)
-    return F.when(~F.isnan(x), x)
+    """NaN becomes NULL. The argument appears once, so nested uses do not multiply."""
+    return F.nanvl(_col(x), F.lit(None).cast("double"))
 
 
 def fdiv(n, d) -> Column:
     """Double division: x/0 is signed infinity, 0/0 is NULL."""
     n, d = _col(n).cast("double"), _col(d).cast("double")
-    by_zero = F.when(n > 0, F.lit(float("inf"))).when(n < 0, F.lit(float("-inf")))
-    return F.when(d == 0, by_zero).otherwise(denan(F.try_divide(n, d)))
+    return F.coalesce(F.try_divide(n, d), denan(n * F.when(d == 0, F.lit(float("inf")))))
 
 
 def rnd(x, digits: int) -> Column:
@@ -70,21 +69,22 @@ def rnd(x, digits: int) -> Column:
     return F.rint(x * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
-def day_us(ts) -> Column:
-    """Microseconds since midnight of a naive timestamp, independent of the session zone."""
-    ts = _col(ts)
+def day_us(ts: str) -> Column:
+    """Microseconds since midnight of a naive timestamp column, whatever the session zone is."""
+    return F.expr(_day_us(ts))
+
+
+def _day_us(ts: str) -> str:
     return (
-        F.hour(ts).cast("long") * F.lit(US_PER_HOUR)
-        + F.minute(ts).cast("long") * F.lit(US_PER_MINUTE)
-        + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+        f"hour({ts}) * {US_PER_HOUR}L + minute({ts}) * {US_PER_MINUTE}L"
+        f" + cast(extract(second from {ts}) * 1000000 as bigint)"
     )
 
 
-def us_between(start, end) -> Column:
-    """Wall-clock microseconds from ``start`` to ``end``."""
-    start, end = _col(start), _col(end)
-    days = F.datediff(end.cast("date"), start.cast("date"))
-    return days.cast("long") * F.lit(US_PER_DAY) + day_us(end) - day_us(start)
+def us_between(start: str, end: str) -> Column:
+    """Wall-clock microseconds between two timestamp columns."""
+    days = f"datediff(cast({end} as date), cast({start} as date)) * {US_PER_DAY}L"
+    return F.expr(f"{days} + ({_day_us(end)}) - ({_day_us(start)})")
 
 
 def midnight(ts) -> Column:

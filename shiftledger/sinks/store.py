@@ -48,10 +48,11 @@ class AuditStore:
         return reader.format(fmt).load(path)
 
     def _write_partitions(self, df: DataFrame, *parts: str) -> None:
-        # Hash by partition column and key: each table partition is written by a few tasks, not
-        # all of them, and a large client still spreads over its keys.
+        # Rebalancing gathers a table partition in few tasks, so files stay few and large, and
+        # AQE splits the tasks of a client that outgrows one.
         (
-            df.write.mode("overwrite")
+            df.hint("rebalance", *TENANT)
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*TENANT)
             .parquet(self.path(*parts))

@@ -53,6 +53,9 @@ _KEY_SCHEMA = T.StructType(
 )
 
 
+_LOCATION = "case c_custkey % 3 when 0 then 'AAA' when 1 then 'BBB' else 'CCC' end"
+
+
 def _location(key: Column) -> Column:
     return F.when(key % 3 == 0, "AAA").when(key % 3 == 1, "BBB").otherwise("CCC")
 
@@ -88,13 +91,14 @@ class SampleTables:
     def user_profile(self) -> KeyProfile:
         return profile_keys(self.table("events"), ["user_id"])
 
-    @cached_property
+    @property
     def profile(self) -> KeyProfile:
+        return self.profile_for(PAY_DATE)
+
+    def profile_for(self, pay_date: dt.date) -> KeyProfile:
         """The profile of the punch key follows from the users: one user is one employee."""
         users = self.user_profile
-        hot = tuple(
-            (f"{'ABC'[u % 3] * 3}0{u:06d}", CLIENT, PAY_DATE) for (u,) in users.hot
-        )
+        hot = tuple((f"{'ABC'[u % 3] * 3}0{u:06d}", CLIENT, pay_date) for (u,) in users.hot)
         keys = ("id", "client_id", "pay_date")
         return KeyProfile(keys, hot, users.hot_rows, users.missing, _KEY_SCHEMA)
 
@@ -138,68 +142,66 @@ class SampleTables:
 
     @cached_property
     def register(self) -> DataFrame:
-        """Hours are quantities summed per customer, pay follows from the customer key."""
-        flag, qty = F.col("l_returnflag"), F.col("l_quantity")
+        """Hours are quantities summed per customer, pay follows from the customer key.
+
+        Customers and their order lines meet in one aggregation instead of a join, so a customer
+        with very many orders is combined map-side.
+        """
         # Sum per order before the join: fewer rows meet the orders, and copies are combined early.
         lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-            *[F.sum(F.when(flag == f, qty)).alias(f"h_{f}") for f in "NRA"]
+            *[F.expr(f"sum(l_quantity) filter (where l_returnflag = '{f}') as h_{f}") for f in "NRA"]
         )
         orders = self.table("orders").select("o_orderkey", "o_custkey")
-        per_customer = (
-            orders.join(lines, "o_orderkey")
-            .groupBy(F.col("o_custkey").alias("c_custkey"))
-            .agg(*[F.sum(f"h_{f}").alias(f"h_{f}") for f in "NRA"])
+        worked = orders.join(lines, "o_orderkey").selectExpr(
+            "o_custkey as c_custkey", "null as c_name", "null as c_mktsegment", "h_N", "h_R", "h_A"
         )
-        df = self.table("customer").join(per_customer, "c_custkey", "left")
-        df = df.withColumns({f"h_{f}": F.coalesce(f"h_{f}", F.lit(0.0)) for f in "NRA"})
-        k = F.col("c_custkey")
-        rate = (15 + k % 40).cast("double")
-        exempt = k % 11 == 0
+        people = self.table("customer").selectExpr(
+            "c_custkey", "c_name", "c_mktsegment", "0D as h_N", "0D as h_R", "0D as h_A"
+        )
+        k, rate, exempt = "c_custkey", "cast(15 + c_custkey % 40 as double)", "c_custkey % 11 = 0"
+        reg, ot, dbl = "sum(h_N)", "sum(h_R)", "sum(h_A)"
 
-        def every(n: int, value) -> Column:
-            return F.when(k % n == 0, value).otherwise(F.lit(0.0)).cast("double")
+        def every(n: int, value: str) -> str:
+            return f"cast(if(c_custkey % {n} = 0, {value}, 0D) as double)"
 
         columns = {
-            **_tenant(k),
+            "client_id": f"if({k} is not null, '{CLIENT}', null)",
+            "pay_date": f"if({k} is not null, date'{PAY_DATE}', null)",
             "seq": k,
-            "IDX": _employee_id(k),
-            "Location": _location(k),
-            "Payroll Name": F.col("c_name"),
-            "Pay Date": F.lit(PAY_DATE).cast("timestamp_ntz"),
-            "FLSA Status": F.when(exempt, "E").otherwise("N"),
-            "Position Status": F.when(k % 13 == 0, "Terminated")
-            .when(k % 13 == 1, "Leave")
-            .otherwise("Active"),
-            "Hire Date": F.date_add(F.lit(dt.date(2015, 1, 1)), (k % 3000).cast("int")).cast(
-                "timestamp_ntz"
-            ),
-            "Job Description": F.col("c_mktsegment"),
-            "Termination Date": F.when(
-                k % 13 == 0, F.lit(dt.date(2024, 1, 10)).cast("timestamp_ntz")
-            ),
-            "Regular Rate Paid": F.when(exempt & (k % 2 == 1), rate * 80).otherwise(rate),
-            "Regular Hours": F.col("h_N"),
-            "Overtime Hours": F.col("h_R"),
-            "Double Time Hours": F.col("h_A"),
-            "Regular Earnings Total": rate * F.col("h_N"),
-            "Overtime Earnings": rate * 1.5 * F.col("h_R") + every(7, 1.25),
-            "Misc FLSA Earnings": every(6, 12.5),
-            "Bonus Earnings": every(9, 100 + k % 50),
-            "Commission Earnings": every(10, 55.0),
-            "Auto Gratuity Earnings": every(12, 20.25),
-            "Restricted Service Charge Earnings": every(15, 7.5),
-            "Bellman Service Charge Earnings": every(20, 3.75),
-            "Double Time Earnings": rate * 2 * F.col("h_A") + every(5, 1.25),
-            "Break Credit Hours": (k % 4).cast("double"),
-            "Break Credit Earnings": rate * (k % 4) + every(3, 0.5),
-            "Rest Credit Hours": (k % 3).cast("double"),
-            "Rest Credit Earnings": rate * (k % 3),
-            "Sick Pay Hours": every(8, 8.0),
-            "Sick Pay Earnings": every(8, 8.0) * rate,
-            "Vacation Hours": every(16, 16.0),
-            "Vacation Earnings": every(16, 16.0) * rate,
+            "IDX": f"concat({_LOCATION}, '0', lpad(cast({k} as string), 6, '0'))",
+            "Location": _LOCATION,
+            "Payroll Name": "max(c_name)",
+            "Pay Date": f"timestamp_ntz'{PAY_DATE} 00:00:00'",
+            "FLSA Status": f"if({exempt}, 'E', 'N')",
+            "Position Status": f"case {k} % 13 when 0 then 'Terminated' when 1 then 'Leave' else 'Active' end",
+            "Hire Date": f"cast(date_add(date'2015-01-01', cast({k} % 3000 as int)) as timestamp_ntz)",
+            "Job Description": "max(c_mktsegment)",
+            "Termination Date": f"if({k} % 13 = 0, timestamp_ntz'2024-01-10 00:00:00', null)",
+            "Regular Rate Paid": f"if({exempt} and {k} % 2 = 1, {rate} * 80, {rate})",
+            "Regular Hours": reg,
+            "Overtime Hours": ot,
+            "Double Time Hours": dbl,
+            "Regular Earnings Total": f"{rate} * {reg}",
+            "Overtime Earnings": f"{rate} * 1.5D * {ot} + {every(7, '1.25D')}",
+            "Misc FLSA Earnings": every(6, "12.5D"),
+            "Bonus Earnings": every(9, f"100 + {k} % 50"),
+            "Commission Earnings": every(10, "55D"),
+            "Auto Gratuity Earnings": every(12, "20.25D"),
+            "Restricted Service Charge Earnings": every(15, "7.5D"),
+            "Bellman Service Charge Earnings": every(20, "3.75D"),
+            "Double Time Earnings": f"{rate} * 2 * {dbl} + {every(5, '1.25D')}",
+            "Break Credit Hours": f"cast({k} % 4 as double)",
+            "Break Credit Earnings": f"{rate} * ({k} % 4) + {every(3, '0.5D')}",
+            "Rest Credit Hours": f"cast({k} % 3 as double)",
+            "Rest Credit Earnings": f"{rate} * ({k} % 3)",
+            "Sick Pay Hours": every(8, "8D"),
+            "Sick Pay Earnings": f"{every(8, '8D')} * {rate}",
+            "Vacation Hours": every(16, "16D"),
+            "Vacation Earnings": f"{every(16, '16D')} * {rate}",
         }
-        return df.select(*[c.alias(n) for n, c in columns.items()])
+        df = people.unionByName(worked).groupBy("c_custkey")
+        df = df.agg(*[F.expr(e).alias(n) for n, e in columns.items()], F.max("c_name").alias("known"))
+        return df.where("known is not null").drop("c_custkey", "known")
 
     @cached_property
     def waiver_rows(self) -> DataFrame:
