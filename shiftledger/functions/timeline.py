@@ -14,12 +14,14 @@ chunk borders. No task sees more of a key than one chunk.
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -30,6 +32,7 @@ CHUNK_ROWS_DEFAULT = 500_000
 
 _CHUNK = "__chunk"
 _ROW = "__rid"
+_QUERY_LOGGERS = ("DataFrameQueryContextLogger", "SQLQueryContextLogger")
 
 # How the summaries of two chunks combine.
 _MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
@@ -118,11 +121,15 @@ def profile_keys(df: DataFrame, keys: Sequence[str]) -> KeyProfile:
     return _profiles[memo]
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join on columns of equal names in which NULL matches NULL."""
-    r = right.select(*[F.col(c).alias(f"__r_{c}" if c in on else c) for c in right.columns])
-    cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(r[f"__r_{c}"]) for c in on])
-    return left.join(r, cond, "left").drop(*[f"__r_{c}" for c in on])
+def null_safe_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], nullable: Sequence[str]
+) -> DataFrame:
+    """Left join on ``on`` plus ``nullable`` columns, in which NULL matches NULL."""
+    keys = [*on, *nullable]
+    r = right.select(*[F.col(c).alias(f"__r_{c}" if c in keys else c) for c in right.columns])
+    same = [left[c] == r[f"__r_{c}"] for c in on]
+    same += [left[c].eqNullSafe(r[f"__r_{c}"]) for c in nullable]
+    return left.join(r, reduce(lambda a, b: a & b, same), "left").drop(*[f"__r_{c}" for c in keys])
 
 
 class Timeline:
@@ -141,8 +148,12 @@ class Timeline:
         """Row-wise columns, added together."""
         return self._with(self.df.withColumns(cols))
 
+    def lookup(self, fn: Callable[[DataFrame], DataFrame]) -> "Timeline":
+        """A join that only adds columns."""
+        return self._with(fn(self.df))
+
     def apply(self, fn: Callable[[DataFrame], DataFrame]) -> "Timeline":
-        """Any step that keeps rows and group columns (a lookup join, a filter)."""
+        """Any row-wise step, including filters and changed columns."""
         return self._with(fn(self.df))
 
     def select(self, *cols: str) -> "Timeline":
@@ -209,22 +220,91 @@ class WindowTimeline(Timeline):
 
 
 class ChunkedTimeline(Timeline):
-    """A key may span many tasks; each task holds whole chunks of it."""
+    """A key may span many tasks; each task holds whole chunks of it.
+
+    ``df`` is the full plan. ``base`` is the same rows from the last written table, with the columns
+    that need no join. A step summarises ``base`` per chunk and joins the summary to ``df``. When a
+    step needs a column that only ``df`` has, ``df`` is written and becomes the new base: plans stay
+    linear in the number of steps, and a lost executor repeats one step at most.
+    """
 
-    def __init__(self, df, keys, order, rows: int | None = None):
+    def __init__(self, df, keys, order):
         super().__init__(df, keys, order)
-        spark = df.sparkSession
-        per_chunk = _conf_int(spark, CHUNK_ROWS_CONF, CHUNK_ROWS_DEFAULT)
-        base = materialise(df) if rows is None else df
-        total = base.count() if rows is None else rows
-        parts = max(1, -(-total // per_chunk))
-        ranged = base.repartitionByRange(parts, *self.keys, *self.order)
-        self.df = materialise(
+        per_chunk = _conf_int(df.sparkSession, CHUNK_ROWS_CONF, CHUNK_ROWS_DEFAULT)
+        rows = materialise(df)
+        parts = max(1, -(-rows.count() // per_chunk))
+        ranged = rows.repartitionByRange(parts, *self.keys, *self.order)
+        self.df = self.base = materialise(
             ranged.withColumn(_CHUNK, F.spark_partition_id()).withColumn(
                 _ROW, F.monotonically_increasing_id()
             )
         )
 
+    def _on_base(self, fn: Callable[[DataFrame], DataFrame], instead: DataFrame | None):
+        if self.base is None:
+            return None
+        # A missing column is an expected answer here, not something to log.
+        loggers = [logging.getLogger(n) for n in _QUERY_LOGGERS]
+        before = [log.disabled for log in loggers]
+        for log in loggers:
+            log.disabled = True
+        try:
+            return fn(self.base)
+        except AnalysisException:
+            return instead
+        finally:
+            for log, state in zip(loggers, before):
+                log.disabled = state
+
+    def add(self, **cols):
+        out = self._with(self.df.withColumns(cols))
+        # A column that base cannot compute must not be found there under its old meaning.
+        for name, expr in cols.items():
+            old = None if self.base is None else self.base.drop(name)
+            out.base = self._on_base(lambda b: b.withColumn(name, expr), old)
+            self = out
+        return out
+
+    def lookup(self, fn):
+        out = self._with(fn(self.df))
+        out.base = self._on_base(fn, self.base)
+        return out
+
+    def apply(self, fn):
+        out = self._with(fn(self.df))
+        out.base = self._on_base(fn, None)
+        return out
+
+    def select(self, *cols):
+        out = super().select(*cols)
+        own = [c for c in (*cols, _CHUNK, _ROW) if self.base is not None and c in self.base.columns]
+        out.base = None if self.base is None else self.base.select(*own)
+        return out
+
+    def _settle(self):
+        self.df = self.base = materialise(self.df)
+
+    def _summarise(self, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``fn`` over base, settling first if base lacks something."""
+        out = self._on_base(fn, None)
+        if out is None:
+            self._settle()
+            out = fn(self.base)
+        return out
+
+    def _joined(self, sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        """Rows with their chunk's summary. Only sub-group columns can be NULL."""
+        on = [*self.keys, _CHUNK]
+        if not by:
+            return self.df.join(sums, on, "left")
+        return null_safe_join(self.df, sums, on, by)
+
+    def _with_new(self, df: DataFrame, names) -> "Timeline":
+        out = self._with(df)
+        if out.base is not None:
+            out.base = out.base.drop(*names)
+        return out
+
     def _group(self, by=()):
         return [*self.keys, *by, _CHUNK]
 
@@ -235,57 +315,55 @@ class ChunkedTimeline(Timeline):
         return Window.partitionBy(*self.keys, *by).orderBy(_CHUNK)
 
     def neighbours(self, **cols):
-        near = {n: c for n, c in cols.items() if abs(c[1]) == 1}
-        far = {n: c for n, c in cols.items() if abs(c[1]) != 1}
-        out = self
-        if near:
-            names = sorted({c for c, _ in near.values()})
-            edge = F.struct(*self.order, _ROW)
-            values = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(names)])
-            edges = self.df.groupBy(*self._group()).agg(
+        names = sorted({c for c, _ in cols.values()})
+        edge = F.struct(*self.order, _ROW)
+        values = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(names)])
+        edges = self._summarise(
+            lambda b: b.groupBy(*self._group()).agg(
                 F.min_by(values, edge).alias("__head"), F.max_by(values, edge).alias("__tail")
             )
-            w = self._carry()
-            edges = edges.select(
-                *self._group(),
-                F.lag("__tail", 1).over(w).alias("__before"),
-                F.lead("__head", 1).over(w).alias("__after"),
-            )
-            df = null_safe_join(self.df, edges, self._group())
-            lw = self._local()
-            first = F.row_number().over(lw) == 1
-            last = F.lead(F.lit(1), 1).over(lw).isNull()
-            added = {"__first": first, "__last": last}
-            for n, (c, off) in near.items():
-                added[f"__near_{n}"] = (F.lag(c, 1) if off < 0 else F.lead(c, 1)).over(lw)
-            df = df.withColumns(added)
-            df = df.withColumns(
-                {
-                    n: F.when(
-                        F.col("__first" if off < 0 else "__last"),
-                        F.col("__before" if off < 0 else "__after")[f"v{names.index(c)}"],
-                    ).otherwise(F.col(f"__near_{n}"))
-                    for n, (c, off) in near.items()
-                }
-            ).drop("__before", "__after", *added)
-            out = self._with(df)
-        for n, (c, off) in far.items():
-            out = out.back(n, c, F.lit(-off), [-off])
-        return out
+        )
+        w = self._carry()
+        edges = edges.select(
+            *self._group(),
+            F.lag("__tail", 1).over(w).alias("__before"),
+            F.lead("__head", 1).over(w).alias("__after"),
+        )
+        lw = self._local()
+        added = {
+            "__first": F.row_number().over(lw) == 1,
+            "__last": F.lead(F.lit(1), 1).over(lw).isNull(),
+        }
+        for n, (c, off) in cols.items():
+            added[f"__near_{n}"] = (F.lag(c, 1) if off < 0 else F.lead(c, 1)).over(lw)
+        df = self._joined(edges).withColumns(added)
+        df = df.withColumns(
+            {
+                n: F.when(
+                    F.col("__first" if off < 0 else "__last"),
+                    F.col("__before" if off < 0 else "__after")[f"v{names.index(c)}"],
+                ).otherwise(F.col(f"__near_{n}"))
+                for n, (c, off) in cols.items()
+            }
+        )
+        return self._with_new(df.drop("__before", "__after", *added), cols)
 
     def running(self, by=(), **cols):
         group = self._group(by)
-        sums = self.df.groupBy(*group).agg(
-            *[_LOCAL[kind](e).alias(f"__c_{n}") for n, (kind, e) in cols.items()]
+        sums = self._summarise(
+            lambda b: b.groupBy(*group).agg(
+                *[_LOCAL[kind](e).alias(f"__c_{n}") for n, (kind, e) in cols.items()]
+            )
         )
         prior = self._carry(by).rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select(
             *group,
             *[_MERGE[kind](f"__c_{n}").over(prior).alias(f"__p_{n}") for n, (kind, _) in cols.items()],
         )
-        df = null_safe_join(self.df, sums, group)
         w = self._local(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        df = df.withColumns({f"__l_{n}": _LOCAL[k](e).over(w) for n, (k, e) in cols.items()})
+        df = self._joined(sums, by).withColumns(
+            {f"__l_{n}": _LOCAL[k](e).over(w) for n, (k, e) in cols.items()}
+        )
 
         def merged(n, kind):
             here, before = F.col(f"__l_{n}"), F.col(f"__p_{n}")
@@ -294,43 +372,52 @@ class ChunkedTimeline(Timeline):
             return (F.least if kind == "min" else F.greatest)(here, before)
 
         df = df.withColumns({n: merged(n, kind) for n, (kind, _) in cols.items()})
-        return self._with(df.drop(*[f"__l_{n}" for n in cols], *[f"__p_{n}" for n in cols]))
+        scratch = [f"__{x}_{n}" for n in cols for x in "lp"]
+        return self._with_new(df.drop(*scratch), cols)
 
     def totals(self, by=(), **cols):
         group = self._group(by)
-        sums = self.df.groupBy(*group).agg(
-            *[_LOCAL[kind](e).alias(f"__c_{n}") for n, (kind, e) in cols.items()]
+        sums = self._summarise(
+            lambda b: b.groupBy(*group).agg(
+                *[_LOCAL[kind](e).alias(f"__c_{n}") for n, (kind, e) in cols.items()]
+            )
         )
         w = Window.partitionBy(*self.keys, *by)
         sums = sums.select(
-            *group, *[_MERGE[kind](f"__c_{n}").over(w).alias(n) for n, (kind, _) in cols.items()]
+            *group, *[_MERGE[kind](f"__c_{n}").over(w).alias(f"__t_{n}") for n, (kind, _) in cols.items()]
         )
-        return self._with(null_safe_join(self.df, sums, group))
+        df = self._joined(sums, by).withColumns({n: F.col(f"__t_{n}") for n in cols})
+        return self._with_new(df.drop(*[f"__t_{n}" for n in cols]), cols)
 
     def firsts(self, by=(), **cols):
         group = self._group(by)
         edge = F.struct(*self.order, _ROW)
         values = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
-        heads = self.df.groupBy(*group).agg(F.min_by(values, edge).alias("__head"))
+        heads = self._summarise(
+            lambda b: b.groupBy(*group).agg(F.min_by(values, edge).alias("__head"))
+        )
         w = self._carry(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         heads = heads.select(*group, F.first("__head").over(w).alias("__head"))
-        df = null_safe_join(self.df, heads, group)
-        return self._with(df.withColumns({n: F.col("__head")[n] for n in cols}).drop("__head"))
+        df = self._joined(heads, by).withColumns({n: F.col("__head")[n] for n in cols})
+        return self._with_new(df.drop("__head"), cols)
 
     def rank(self, name, by, order, where):
-        picked = self.df.where(where).select(*self.keys, *by, *order, F.col(_ROW).alias("__key"))
+        picked = self._summarise(
+            lambda b: b.where(where).select(*self.keys, *by, *order, F.col(_ROW).alias("__key"))
+        )
         ranked = ChunkedTimeline(picked, [*self.keys, *by], order).running(
             **{name: ("count", F.lit(1))}
         )
         right = ranked.df.select(F.col("__key").alias(_ROW), F.col(name).cast("int").alias(name))
-        return self._with(self.df.join(right, _ROW, "left"))
+        return self._with_new(self.df.join(right, _ROW, "left"), [name])
 
     def back(self, name, column, offset, choices):
         counted = self.running(__n=("count", F.lit(1)))
+        counted._settle()
         left = counted.df.withColumn("__at", F.col("__n") - offset)
         right = counted.df.select(*self.keys, F.col("__n").alias("__at"), F.col(column).alias(name))
         df = left.join(right, [*self.keys, "__at"], "left").drop("__n", "__at")
-        return self._with(df)
+        return counted._with_new(df, [name])
 
 
 def is_hot(df: DataFrame, profile: KeyProfile, how: str) -> DataFrame:

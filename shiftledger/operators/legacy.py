@@ -116,7 +116,7 @@ def consecutive_day_hours(
 
     def steps(t: Timeline) -> Timeline:
         t = t.firsts(first_location="location").neighbours(prev_date=("work_date", -1))
-        t = t.apply(
+        t = t.lookup(
             lambda df: rules.resolve(
                 df, "first_location", __limit="number_of_consec_days_before_ot"
             )

@@ -64,7 +64,7 @@ def neighbour_punches(t: Timeline) -> Timeline:
 
 def shifts(t: Timeline, rules: Rules) -> Timeline:
     """A gap of at least the location's threshold, or no gap at all, starts a shift."""
-    t = t.apply(lambda df: rules.resolve(df, shift_gap="time_gap_for_new_shift"))
+    t = t.lookup(lambda df: rules.resolve(df, shift_gap="time_gap_for_new_shift"))
     t = t.add(new_shift=ge("break_min", "shift_gap") | F.col("break_min").isNull())
     t = t.add(is_new_punch=F.col("new_shift") | gt("break_min", F.lit(0)))
     # One pass gives shift numbers, stretch numbers and worked time so far.

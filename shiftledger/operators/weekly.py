@@ -39,7 +39,7 @@ def streaks(t: Timeline, rules: Rules, carryover: DataFrame | None = None) -> Ti
     Two rows of one day both count.
     """
     t = t.firsts(first_location="location").neighbours(prev_day=("workday", -1))
-    t = t.apply(
+    t = t.lookup(
         lambda df: rules.resolve(
             df,
             "first_location",
@@ -64,7 +64,7 @@ def streaks(t: Timeline, rules: Rules, carryover: DataFrame | None = None) -> Ti
     )
     t = t.add(days_worked=F.col("row_no") - F.col("run_row") + 1)
     if carryover is not None:
-        t = t.apply(
+        t = t.lookup(
             lambda df: df.join(
                 carryover.select(*KEYS, F.col("carryover").alias("__carried")), KEYS, "left"
             )
@@ -114,7 +114,7 @@ def weekly_spillover(t: Timeline, rules: Rules) -> Timeline:
     less the largest excess reached so far, which two running windows express.
     """
     t = t.firsts(["workweek"], week_location="location")
-    t = t.apply(
+    t = t.lookup(
         lambda df: rules.resolve(df, "week_location", trim=True, __week_max="ot_week_max")
     )
     t = t.running(["workweek"], reg_so_far=("sum", F.col("regular_us")))
