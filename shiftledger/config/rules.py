@@ -146,25 +146,45 @@ class Rules:
         return df.join(self._side(side), "client_id", "left")
 
     def resolve(
-        self, df: DataFrame, location: str | Column = "location", trim: bool = False, **cols: str
+        self,
+        df: DataFrame,
+        location: str = "location",
+        trim: bool = False,
+        exact: Mapping[str, str] | None = None,
+        client_wide: Mapping[str, str] | None = None,
+        **cols: str,
     ) -> DataFrame:
-        """Add name=rule columns: the location's own value, else the client's."""
-        place = F.col(location) if isinstance(location, str) else location
-        place = F.trim(place) if trim else place
-        glob = self.globals.select(
-            "client_id", *[F.col(r).alias(f"__g_{n}") for n, r in cols.items()]
-        )
+        """Add name=rule columns: the location's own value, else the client's.
+
+        ``trim`` looks the location up without surrounding blanks; rules named in ``exact`` then
+        still need the location as written. ``client_wide`` rules ignore locations. All of them
+        come with one pass over each side of the dimension.
+        """
+        exact, client_wide = exact or {}, client_wide or {}
+        by_place = {**cols, **exact}
+        place = F.trim(location) if trim else F.col(location)
         own = self.overrides.select(
             "client_id",
             F.col("location").alias("__place"),
-            *[F.col(r).alias(f"__o_{n}") for n, r in cols.items()],
+            *[F.col(r).alias(f"__o_{n}") for n, r in by_place.items()],
+        )
+        glob = self.globals.select(
+            "client_id",
+            *[F.col(r).alias(f"__g_{n}") for n, r in by_place.items()],
+            *[F.col(r).alias(n) for n, r in client_wide.items()],
         )
         df = df.withColumn("__place", place)
         df = df.join(self._side(own), ["client_id", "__place"], "left").join(
             self._side(glob), "client_id", "left"
         )
-        df = df.withColumns({n: F.coalesce(f"__o_{n}", f"__g_{n}") for n in cols})
-        drop = ["__place"] + [f"__o_{n}" for n in cols] + [f"__g_{n}" for n in cols]
+        as_written = F.col(location) == F.col("__place")
+
+        def value(name: str) -> Column:
+            o = F.col(f"__o_{name}")
+            return F.coalesce(F.when(as_written, o) if name in exact else o, f"__g_{name}")
+
+        df = df.withColumns({n: value(n) for n in by_place})
+        drop = ["__place"] + [f"__{side}_{n}" for n in by_place for side in "og"]
         return df.drop(*drop)
 
 

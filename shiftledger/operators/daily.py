@@ -39,10 +39,31 @@ def daily_hours(punches: DataFrame) -> DataFrame:
     )
 
 
-def daily_overtime(daily: DataFrame, rules: Rules) -> DataFrame:
+def day_rules(daily: DataFrame, rules: Rules) -> DataFrame:
+    """Every rule the daily steps use, looked up once.
+
+    Daily limits need the location as written; weekly rules look it up trimmed and are prefixed
+    ``own_`` because the employee's first row decides them.
+    """
+    return rules.resolve(
+        daily,
+        trim=True,
+        exact={"ot_max": "ot_day_max", "dt_max": "dt_day_max"},
+        client_wide={
+            "week_start": "workweek_start",
+            "length": "pay_period_length",
+            "gap": "days_bet_payroll_end_and_pay_date",
+            "anchor": "anchor_pay_date",
+        },
+        own_rolling="cba_consec_anyweek",
+        own_streak_limit="number_of_consec_days_before_ot",
+        own_week_max="ot_week_max",
+    )
+
+
+def daily_overtime(daily: DataFrame) -> DataFrame:
     """Regular up to the daily limit, overtime up to the double-time limit, double time above."""
-    daily = rules.resolve(daily, __ot="ot_day_max", __dt="dt_day_max")
-    ot, dt, worked = hours_to_us("__ot"), hours_to_us("__dt"), F.col("hours_us")
+    ot, dt, worked = hours_to_us("ot_max"), hours_to_us("dt_max"), F.col("hours_us")
     zero = F.lit(0).cast("long")
     return daily.withColumns(
         {
@@ -50,7 +71,7 @@ def daily_overtime(daily: DataFrame, rules: Rules) -> DataFrame:
             "ot_us": F.greatest(zero, F.least(worked - ot, dt - ot)),
             "dt_us": F.greatest(zero, worked - dt),
         }
-    ).drop("__ot", "__dt")
+    ).drop("ot_max", "dt_max")
 
 
 def fiscal_pay_date(workday: Column, anchor: Column, length: Column, gap: Column) -> Column:

@@ -64,7 +64,11 @@ def neighbour_punches(t: Timeline) -> Timeline:
 
 def shifts(t: Timeline, rules: Rules) -> Timeline:
     """A gap of at least the location's threshold, or no gap at all, starts a shift."""
-    t = t.lookup(lambda df: rules.resolve(df, shift_gap="time_gap_for_new_shift"))
+    t = t.lookup(
+        lambda df: rules.resolve(
+            df, shift_gap="time_gap_for_new_shift", client_wide={"client_min_wage": "min_wage"}
+        )
+    )
     t = t.add(new_shift=ge("break_min", "shift_gap") | F.col("break_min").isNull())
     t = t.add(is_new_punch=F.col("new_shift") | gt("break_min", F.lit(0)))
     # One pass gives shift numbers, stretch numbers and worked time so far.
@@ -137,7 +141,7 @@ _SCRATCH = [
     "first_stretch",
     "worked_before",
     "second_break_us",
-    "split_us",
+    "client_min_wage",
 ]
 
 
@@ -153,14 +157,15 @@ def punch_windows(punches: DataFrame, rules: Rules, profile: KeyProfile | None =
 
 def split_shift_dollars(df: DataFrame, rules: Rules) -> DataFrame:
     """Pay of this and the previous punch against minimum wage plus one hour (client-wide rate)."""
-    df = rules.with_globals(df, __min_wage="min_wage")
+    if "client_min_wage" not in df.columns:
+        df = rules.with_globals(df, client_min_wage="min_wage")
     both = hours(F.col("raw_us") + F.col("prev_us"))
     df = df.withColumns(
         {
             "split_paid": denan(F.col("rate_paid") * both),
-            "split_at_min": F.col("__min_wage") * (F.lit(1) + both),
+            "split_at_min": F.col("client_min_wage") * (F.lit(1) + both),
         }
-    ).drop("__min_wage")
+    )
     return df.withColumn("split_due", F.col("split_at_min") - F.col("split_paid"))
 
 

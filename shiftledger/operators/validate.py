@@ -59,16 +59,19 @@ def check_pay_dates(
     ``pay_date`` may be text. ``in_punch`` may be text; unreadable values are missing.
     """
     df = _with_window(punches, rules)
-    per_run = df.groupBy(*TENANT).agg(
-        *[F.first(c).alias(c) for c in ("target", "anchor", "length", "first_day", "last_day")],
+    strays = df.where("outside")
+    constants = ["target", "anchor", "length", "first_day", "last_day"]
+    # Days are few: everything but the samples follows from one roll-up of the file by day.
+    by_day = df.groupBy(*TENANT, *constants, "punch_day", "outside").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    per_run = by_day.groupBy(*TENANT, *constants).agg(
         F.min("punch_day").alias("file_first"),
         F.max("punch_day").alias("file_last"),
-        F.sum(F.col("outside").cast("long")).alias("outliers"),
+        F.sum(F.when(F.col("outside"), F.col("n")).otherwise(0)).alias("outliers"),
     )
-    strays = df.where("outside")
-    by_day = strays.groupBy(*TENANT, "punch_day").agg(F.count(F.lit(1)).alias("n"))
     # Six days tell whether there are more than the five that are shown.
-    days = _first_rows(by_day, TENANT, ["punch_day"], 6).groupBy(*TENANT).agg(
+    days = _first_rows(by_day.where("outside"), TENANT, ["punch_day"], 6).groupBy(*TENANT).agg(
         F.sort_array(F.collect_list("punch_day")).alias("days")
     )
     sample = F.struct(

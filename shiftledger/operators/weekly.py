@@ -8,46 +8,29 @@ from shiftledger.config.fixed_values import PREMIUM_DAY_HOURS
 from shiftledger.config.rules import Rules, weekday_number
 from shiftledger.functions.semantics import US_PER_HOUR, gt, hours, hours_to_us, rnd
 from shiftledger.functions.timeline import KeyProfile, Timeline, over_lanes
-from shiftledger.operators.daily import daily_hours, daily_overtime, fiscal_pay_date
+from shiftledger.operators.daily import daily_hours, daily_overtime, day_rules, fiscal_pay_date
 from shiftledger.operators.punches import KEYS
 
 # Workweeks follow the workday, so leading with them changes no order and lets the windows of the
 # employee and of the employee's week use the same sort.
 ORDER = ["workweek", "workday", "employee", "location"]
 
-_FROM_RULES = {
-    "week_start": "workweek_start",
-    "length": "pay_period_length",
-    "gap": "days_bet_payroll_end_and_pay_date",
-    "anchor": "anchor_pay_date",
-}
-
-
-def workweeks(df: DataFrame, rules: Rules) -> DataFrame:
-    """``workweek``: the start date of the client's workweek. Period settings stay on the row."""
-    df = rules.with_globals(df, **_FROM_RULES)
+def workweeks(df: DataFrame) -> DataFrame:
+    """``workweek``: the start date of the client's workweek."""
     df = df.withColumn("start_dow", weekday_number(F.col("week_start")))
     back = F.pmod(F.weekday("workday") - F.col("start_dow"), F.lit(7))
     return df.withColumn("workweek", F.date_sub("workday", back))
 
 
-def streaks(t: Timeline, rules: Rules, carryover: DataFrame | None = None) -> Timeline:
+def streaks(t: Timeline, carryover: DataFrame | None = None) -> Timeline:
     """``days_worked``: position in a run of worked days.
 
     A run breaks on a missing day and, unless the employee's first location rolls over workweeks,
     where a new workweek starts. Rolling employees may continue the run of the prior period.
     Two rows of one day both count.
     """
-    t = t.firsts(first_location="location").neighbours(prev_day=("workday", -1))
-    t = t.lookup(
-        lambda df: rules.resolve(
-            df,
-            "first_location",
-            trim=True,
-            rolling="cba_consec_anyweek",
-            streak_limit="number_of_consec_days_before_ot",
-        )
-    )
+    t = t.firsts(rolling="own_rolling", streak_limit="own_streak_limit")
+    t = t.neighbours(prev_day=("workday", -1)).running(row_no=("count", F.lit(1)))
     new_week = (F.weekday("prev_day") != F.col("start_dow")) & (
         F.weekday("workday") == F.col("start_dow")
     )
@@ -57,7 +40,6 @@ def streaks(t: Timeline, rules: Rules, carryover: DataFrame | None = None) -> Ti
         | (~F.coalesce("rolling", F.lit(False)) & new_week)
     )
     t = t.add(run_starts=breaks)
-    t = t.running(row_no=("count", F.lit(1)))
     t = t.running(
         run_row=("max", F.when(F.col("run_starts"), F.col("row_no"))),
         streak_start=("max", F.when(F.col("run_starts"), F.col("workday"))),
@@ -107,18 +89,15 @@ def consecutive_premium(df: DataFrame) -> DataFrame:
     )
 
 
-def weekly_spillover(t: Timeline, rules: Rules) -> Timeline:
+def weekly_spillover(t: Timeline) -> Timeline:
     """Regular time beyond the weekly limit becomes overtime.
 
     The running total is capped at the limit after each row. A capped total equals the plain total
     less the largest excess reached so far, which two running windows express.
     """
-    t = t.firsts(["workweek"], week_location="location")
-    t = t.lookup(
-        lambda df: rules.resolve(df, "week_location", trim=True, __week_max="ot_week_max")
-    )
+    t = t.firsts(["workweek"], week_max="own_week_max")
     t = t.running(["workweek"], reg_so_far=("sum", F.col("regular_us")))
-    t = t.add(week_max_us=hours_to_us("__week_max"))
+    t = t.add(week_max_us=hours_to_us("week_max"))
     excess_before = F.col("reg_so_far") - F.col("regular_us") - F.col("week_max_us")
     t = t.running(["workweek"], spilt_before=("max", excess_before))
     zero = F.lit(0).cast("long")
@@ -232,11 +211,11 @@ def daily_windows(
     """
 
     def prepare(df: DataFrame) -> DataFrame:
-        return workweeks(daily_overtime(daily_hours(df), rules), rules)
+        return workweeks(daily_overtime(day_rules(daily_hours(df), rules)))
 
     def steps(t: Timeline) -> Timeline:
-        t = streaks(t, rules, carryover).apply(consecutive_premium)
-        t = period_totals(weekly_spillover(t, rules).apply(to_hours))
+        t = streaks(t, carryover).apply(consecutive_premium)
+        t = period_totals(weekly_spillover(t).apply(to_hours))
         if in_period:
             t = t.apply(lambda df: df.where("fiscal_pay_date = pay_date"))
         return first_rows(streak_report_columns(t)).select(*OUTPUT)

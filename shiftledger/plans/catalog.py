@@ -17,7 +17,7 @@ from shiftledger.functions.semantics import hours, rnd
 from shiftledger.functions.timeline import CHUNK_ROWS_CONF, HOT_ROWS_CONF, shared_folder
 from shiftledger.operators import legacy, lookups, normalize, validate, weekly
 from shiftledger.operators.anomalies import break_credit_summary
-from shiftledger.operators.daily import daily_hours, daily_overtime, fiscal_pay_date
+from shiftledger.operators.daily import daily_hours, daily_overtime, day_rules, fiscal_pay_date
 from shiftledger.operators.punches import punch_facts
 from shiftledger.operators.register import register_facts
 from shiftledger.plans.reports import (
@@ -250,7 +250,7 @@ def _daily_midnight_split(i: Inputs) -> DataFrame:
 
 
 def _daily_ot_dt(i: Inputs) -> DataFrame:
-    days = weekly.to_hours(daily_overtime(daily_hours(i.tables.punches), i.tables.rules))
+    days = weekly.to_hours(daily_overtime(day_rules(daily_hours(i.tables.punches), i.tables.rules)))
     return days.select("id", "location", "workday", "regular_hours", "ot_hours", "dt_hours")
 
 

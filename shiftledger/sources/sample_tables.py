@@ -144,22 +144,19 @@ class SampleTables:
     def register(self) -> DataFrame:
         """Hours are quantities summed per customer, pay follows from the customer key.
 
-        Customers and their order lines meet in one aggregation instead of a join, so a customer
-        with very many orders is combined map-side.
+        Lines are summed per order and orders per customer before they meet the customers, so a
+        customer with very many orders is combined map-side.
         """
         # Sum per order before the join: fewer rows meet the orders, and copies are combined early.
         lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
             *[F.expr(f"sum(l_quantity) filter (where l_returnflag = '{f}') as h_{f}") for f in "NRA"]
         )
         orders = self.table("orders").select("o_orderkey", "o_custkey")
-        worked = orders.join(lines, "o_orderkey").selectExpr(
-            "o_custkey as c_custkey", "null as c_name", "null as c_mktsegment", "h_N", "h_R", "h_A"
-        )
-        people = self.table("customer").selectExpr(
-            "c_custkey", "c_name", "c_mktsegment", "0D as h_N", "0D as h_R", "0D as h_A"
-        )
+        worked = orders.join(lines, "o_orderkey").groupBy(F.col("o_custkey").alias("c_custkey"))
+        worked = worked.agg(*[F.sum(f"h_{f}").alias(f"h_{f}") for f in "NRA"])
+        people = self.table("customer").select("c_custkey", "c_name", "c_mktsegment")
         k, rate, exempt = "c_custkey", "cast(15 + c_custkey % 40 as double)", "c_custkey % 11 = 0"
-        reg, ot, dbl = "sum(h_N)", "sum(h_R)", "sum(h_A)"
+        reg, ot, dbl = (f"coalesce(sum(h_{f}), 0D)" for f in "NRA")
 
         def every(n: int, value: str) -> str:
             return f"cast(if(c_custkey % {n} = 0, {value}, 0D) as double)"
@@ -170,12 +167,12 @@ class SampleTables:
             "seq": k,
             "IDX": f"concat({_LOCATION}, '0', lpad(cast({k} as string), 6, '0'))",
             "Location": _LOCATION,
-            "Payroll Name": "max(c_name)",
+            "Payroll Name": "c_name",
             "Pay Date": f"timestamp_ntz'{PAY_DATE} 00:00:00'",
             "FLSA Status": f"if({exempt}, 'E', 'N')",
             "Position Status": f"case {k} % 13 when 0 then 'Terminated' when 1 then 'Leave' else 'Active' end",
             "Hire Date": f"cast(date_add(date'2015-01-01', cast({k} % 3000 as int)) as timestamp_ntz)",
-            "Job Description": "max(c_mktsegment)",
+            "Job Description": "c_mktsegment",
             "Termination Date": f"if({k} % 13 = 0, timestamp_ntz'2024-01-10 00:00:00', null)",
             "Regular Rate Paid": f"if({exempt} and {k} % 2 = 1, {rate} * 80, {rate})",
             "Regular Hours": reg,
@@ -199,9 +196,10 @@ class SampleTables:
             "Vacation Hours": every(16, "16D"),
             "Vacation Earnings": f"{every(16, '16D')} * {rate}",
         }
-        df = people.unionByName(worked).groupBy("c_custkey")
-        df = df.agg(*[F.expr(e).alias(n) for n, e in columns.items()], F.max("c_name").alias("known"))
-        return df.where("known is not null").drop("c_custkey", "known")
+        # The columns are made in an aggregation over the joined rows, which are already hashed by
+        # customer: later filters then see plain columns instead of these expressions inlined.
+        df = people.join(worked, "c_custkey", "left").groupBy(*people.columns)
+        return df.agg(*[F.expr(e).alias(n) for n, e in columns.items()]).drop(*people.columns)
 
     @cached_property
     def waiver_rows(self) -> DataFrame:
