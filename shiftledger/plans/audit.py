@@ -22,7 +22,7 @@ from shiftledger.operators.validate import (
     require_inputs,
 )
 from shiftledger.operators.weekly import daily_facts
-from shiftledger.plans.reports import TENANT, all_reports
+from shiftledger.plans.reports import TENANT, all_reports, json_safe
 from shiftledger.sinks import files
 from shiftledger.sinks.store import AuditStore
 from shiftledger.sources.stored import stored_carryover
@@ -137,4 +137,7 @@ def run(
     store.save_runs(counts, rules, lazy.skipped)
     for path in (facts_path, daily_path, summary_path):
         files.remove(spark, path)
-    return {n: store.read("reports", n, fmt="json") for n in done.reports()}
+    return {
+        n: spark.read.schema(json_safe(df).schema).json(store.path("reports", n))
+        for n, df in done.reports().items()
+    }

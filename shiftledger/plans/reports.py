@@ -125,6 +125,11 @@ REGISTER_REPORTS = tuple(fv.REGISTER_REPORTS)
 TIME_CARD_REPORTS = tuple(fv.TIME_CARD_REPORTS)
 
 
+def report_columns(name: str) -> list[str]:
+    columns, renames = {**fv.REGISTER_REPORTS, **fv.TIME_CARD_REPORTS}[name]
+    return [renames.get(c, c) for c in columns]
+
+
 def register_report(name: str, facts: DataFrame, limit: int | None = fv.REPORT_ROWS) -> DataFrame:
     """One register report. It is empty when the export lacked the columns of the check."""
     columns, renames = fv.REGISTER_REPORTS[name]

@@ -8,10 +8,12 @@ One writer per (client, pay date) is assumed; a save that is cut short is repeat
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shiftledger.config import fixed_values as fv
 from shiftledger.config.rules import Rules, period_bounds
@@ -39,15 +41,39 @@ class AuditStore:
     def staging(self) -> str:
         return self.path("_staging", uuid.uuid4().hex)
 
-    def read(self, *parts: str, fmt: str = "parquet") -> DataFrame | None:
-        """The table, or None where it does not exist. Columns added by later saves are merged."""
-        path = self.path(*parts)
+    def read(self, *parts: str) -> DataFrame | None:
+        """The table, or None where it does not exist.
+
+        The schema is kept next to the table. Columns added by later saves read as NULL in older
+        files, without opening every file's footer to merge schemas.
+        """
+        schema = self._schema(*parts)
+        if schema is None:
+            return None
+        return self.spark.read.schema(schema).parquet(self.path(*parts))
+
+    def _schema(self, *parts: str) -> T.StructType | None:
+        path = self.path("_schemas", *parts)
         if not files.exists(self.spark, path):
             return None
-        reader = self.spark.read.option("mergeSchema", "true") if fmt == "parquet" else self.spark.read
-        return reader.format(fmt).load(path)
+        text = self.spark.read.text(path, wholetext=True).first()["value"]
+        return T.StructType.fromJson(json.loads(text))
+
+    def _keep_schema(self, new: T.StructType, *parts: str) -> None:
+        """Record ``new``; columns of earlier saves stay, a changed type is refused."""
+        known = self._schema(*parts)
+        fields = {f.name: f.dataType for f in known or []}
+        for f in new:
+            if fields.setdefault(f.name, f.dataType) != f.dataType:
+                raise TypeError(f"{'/'.join(parts)}: column {f.name} changed its type")
+        data = [c for c in fields if c not in TENANT] + TENANT
+        schema = T.StructType([T.StructField(c, fields[c]) for c in data])
+        if schema != known:
+            text = self.spark.createDataFrame([(schema.json(),)], "value string")
+            text.coalesce(1).write.mode("overwrite").text(self.path("_schemas", *parts))
 
     def _write_partitions(self, df: DataFrame, *parts: str) -> None:
+        self._keep_schema(df.schema, *parts)
         # Rebalancing gathers a table partition in few tasks, so files stay few and large, and
         # AQE splits the tasks of a client that outgrows one.
         (
@@ -158,7 +184,9 @@ class AuditStore:
 
     def save_reports(self, reports: Mapping[str, DataFrame], runs: Sequence[tuple]) -> None:
         """Write every report as JSON rows. A report that is empty now must not keep old rows."""
-        for name, df in reports.items():
+
+        def write(item: tuple[str, DataFrame]) -> None:
+            name, df = item
             for client, pay_date in runs:
                 files.remove(self.spark, self.partition(f"reports/{name}", client, pay_date))
             (
@@ -170,6 +198,10 @@ class AuditStore:
                 .json(self.path("reports", name))
             )
 
+        # The reports are independent small jobs; several at a time keep the cluster busy.
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            list(pool.map(write, reports.items()))
+
     def save_runs(
         self, counts: Mapping[str, DataFrame | None], rules: Rules, skipped: Mapping[str, str]
     ) -> None:
@@ -180,7 +212,7 @@ class AuditStore:
                 continue
             n = df.groupBy(*TENANT).agg(F.count(F.lit(1)).alias(name))
             out = n if out is None else out.join(n, TENANT, "full_outer")
-        zeros = {n: F.coalesce(n, F.lit(0)) if counts[n] is not None else F.lit(0) for n in counts}
+        zeros = {n: F.coalesce(n, F.lit(0)) if counts[n] is not None else F.lit(0).cast("long") for n in counts}
         out = out.withColumns(zeros)
         out = rules.with_globals(
             out, __length="pay_period_length", __gap="days_bet_payroll_end_and_pay_date"

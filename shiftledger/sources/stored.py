@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shiftledger.config import fixed_values as fv
 from shiftledger.config.rules import Rules
 from shiftledger.operators.lookups import carryover_streaks
+from shiftledger.plans.reports import report_columns
+from shiftledger.sinks import files
 from shiftledger.sinks.store import AuditStore, NotFound, _of_period
 
 _BASE = ["ID", "In Punch", "Out Punch", "Employee"]
@@ -68,17 +70,18 @@ def query_daily(
 
 
 def load_results(store: AuditStore, client_id: str, pay_date) -> dict[str, DataFrame]:
-    """The stored reports of a period, without partition columns."""
+    """The stored reports of a period, without partition columns; a report may be empty."""
     runs = store.read("runs")
     if runs is None or not _of_period(runs, client_id, pay_date).limit(1).count():
         raise NotFound(f"no processed data for {client_id} {pay_date}")
     out = {"run": _of_period(runs, client_id, pay_date)}
     for name in (*fv.REGISTER_REPORTS, *fv.TIME_CARD_REPORTS):
         path = store.partition(f"reports/{name}", client_id, pay_date)
-        from shiftledger.sinks import files
-
         if files.exists(store.spark, path):
             out[name] = store.spark.read.json(path)
+        else:
+            fields = [T.StructField(c, T.StringType()) for c in report_columns(name)]
+            out[name] = store.spark.createDataFrame([], T.StructType(fields))
     return out
 
 
