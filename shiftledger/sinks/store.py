@@ -23,6 +23,7 @@ from shiftledger.plans.reports import json_safe, labelled
 from shiftledger.sinks import files
 
 TENANT = ["client_id", "pay_date"]
+PRUNED_CLIENTS = 1000
 PUNCH_KEY = ["client_id", "ID", "In Punch"]
 DAILY_KEY = ["client_id", "ID", "Location", "Attributed_Workday"]
 
@@ -104,6 +105,10 @@ class AuditStore:
         moved_to = staged
         old = self.read(table)
         if old is not None:
+            # Only the batch's clients can share keys with it: prune to their partitions.
+            clients = sorted({client for client, _ in self._runs(staged)})
+            if len(clients) <= PRUNED_CLIENTS:
+                old = old.where(F.col("client_id").isin(clients))
             keys = staged.select(*[F.col(f"`{k}`") for k in key], F.col("pay_date").alias("__to"))
             hits = old.select(*[F.col(f"`{k}`") for k in key], "pay_date").join(keys, list(key))
             touched = hits.where("pay_date <> __to").select(*TENANT).distinct()

@@ -68,8 +68,11 @@ def detect_systems(lines: DataFrame, systems: Sequence[SourceSystem]) -> DataFra
     """(file, system, header_seq, header) per file; system is NULL where nothing matches."""
     depth = max(s.header_row for s in systems) + 1
     w = Window.partitionBy("file").orderBy("seq")
-    heads = lines.where("block = 0").withColumn("row", F.row_number().over(w) - 1)
-    heads = heads.where(F.col("row") < depth).withColumn("header", _header_cells("value"))
+    heads = lines.where("block = 0").withColumn("line", F.row_number().over(w))
+    # A plain bound on the row number lets every task drop later lines before the shuffle.
+    heads = heads.where(F.col("line") <= depth).withColumns(
+        {"row": F.col("line") - 1, "header": _header_cells("value")}
+    )
     matches = None
     for rank, s in enumerate(systems):
         complete = F.size(F.array_except(F.array(*[F.lit(c) for c in s.detect]), "header")) == 0

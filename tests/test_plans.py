@@ -8,10 +8,12 @@ from helpers import rules
 
 from shiftledger.config import fixed_values as fv
 from shiftledger.config.rules import Rules
+from shiftledger.config.systems import PUNCH_SYSTEMS
 from shiftledger.operators.punches import punch_windows
 from shiftledger.operators.weekly import daily_windows
 from shiftledger.plans.catalog import inputs
 from shiftledger.plans.reports import time_card_report
+from shiftledger.sources.exports import detect_systems, read_lines
 from shiftledger.sources.stored import query_punches
 
 
@@ -101,3 +103,11 @@ def test_rules_from_documents(spark, tmp_path):
     assert r.consecutive_limits == (6,) and r.small
     with pytest.raises(ValueError, match="missing global rules"):
         Rules.from_settings(spark, {"acme": {"global": {"ot_day_max": 8}}})
+
+
+def test_header_search_drops_lines_before_the_shuffle(spark, tmp_path):
+    folder = tmp_path / "client_id=a" / "pay_date=2024-01-26"
+    folder.mkdir(parents=True)
+    (folder / "f.csv").write_text("x\n" * 100)
+    text = plan(detect_systems(read_lines(spark, str(tmp_path)), PUNCH_SYSTEMS))
+    assert "WindowGroupLimit" in text and "Partial" in text
