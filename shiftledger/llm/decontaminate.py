@@ -94,25 +94,19 @@ def covered(spans: Column) -> Column:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated, one row per row of ``docs``.
+def text_key(text: Column) -> Column:
+    """Names a text; NULL for a missing one."""
+    return F.md5(text.cast("binary"))
 
-    ``key`` names the text. A missing text has no words, so no hit; the hash of no items is that of
-    the empty string. Items without words match nothing; repeated items count once, repeated item
-    ids of different texts each match by their own text and are listed once. Items without an id
-    match, and are left out of counts and lists of items. Empty tables on either side give no hits.
-    Other columns are left aside.
-    """
-    items = stored(
-        benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("ws"))
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """key, n_hit, n_items, items: one row per distinct text that shares a window with an item."""
+    items = stored(        benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("ws"))
         .withColumn("n", F.size("ws"))
         .where("n > 0"),
         "items",
     )
-    per_text = F.md5(F.col("text").cast("binary"))
-    text = docs.select(
-        F.col("doc_id"), F.col("text"), per_text.alias("key"), words(F.col("text")).alias("ws")
-    )
+    text = docs.select(text_key(F.col("text")).alias("key"), words(F.col("text")).alias("ws"))
 
     hashed = lambda df: df.withColumns(
         {"hs": F.transform("ws", lambda w: F.xxhash64(w)), "n": F.size("ws")}
@@ -192,29 +186,40 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .groupBy("key")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-    summary = stored(
+    return stored(
         spans.join(named, "key", "left").select(
             "key",
             covered(F.col("spans")).cast("long").alias("n_hit"),
-            F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+            F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
             F.coalesce(F.array_join("items", ","), F.lit("")).alias("items"),
         ),
         "summary",
     )
-    return (
-        text.select("doc_id", "key", F.size("ws").cast("long").alias("n_words"))
-        .join(summary, "key", "left")
-        .select(
-            "doc_id",
-            "key",
-            "n_words",
-            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-            F.coalesce(F.when(F.col("n_items") < 0, 0).otherwise(F.col("n_items")), F.lit(0))
-            .cast("long")
-            .alias("n_items"),
-            F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"),
-            (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-        )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated, one row per row of ``docs``.
+
+    ``key`` names the text. A missing text has no words, so no hit; the hash of no items is that of
+    the empty string. Items without words match nothing; repeated items count once, repeated item
+    ids of different texts each match by their own text and are listed once. Items without an id
+    match, and are left out of counts and lists of items. Empty tables on either side give no hits.
+    Other columns are left aside.
+    """
+    summary = contaminated_texts(docs, benchmark)
+    text = docs.select(
+        "doc_id",
+        text_key(F.col("text")).alias("key"),
+        F.size(words(F.col("text"))).cast("long").alias("n_words"),
+    )
+    return text.join(summary, "key", "left").select(
+        "doc_id",
+        "key",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
 

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from shiftledger.llm.common import Rolling, mix, stored, tasks
 from shiftledger.llm.dealing import (
@@ -360,5 +360,29 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of linked documents: that of the smallest id.
+
+    Rows without an id come after all others; of equal ids the smaller text key counts, of repeated
+    rows one stays. Documents without words are in no group and all stay. Columns are kept; names that
+    start with two underscores are used inside.
+    """
+    rows = linked_documents(docs).where("node is not null")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")
+    least = rows.groupBy("node").agg(F.min(rank).alias("r"), F.min("component_id").alias("c"))
+    # A group whose rows all lack an id is one node without a component id.
+    group = F.coalesce(F.col("c").cast("string"), F.concat(F.lit("n"), "node"))
+    first = least.groupBy(group.alias("g")).agg(F.min("r").alias("r"))
+    first = stored(
+        first.select(F.col("r.doc_id").alias("__id"), F.col("r.tkey").alias("__key")), "first"
+    )
+    keyed = docs.withColumns({"__k": F.xxhash64("text"), "__d": F.col("doc_id").cast("long")})
+    empty = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = (F.col("__k") == F.col("__key")) & F.col("__d").eqNullSafe(F.col("__id"))
+    once = F.row_number().over(Window.partitionBy("__k", "__d").orderBy("__k"))
+    kept = keyed.where(~empty).join(first, same).withColumn("__n", once).where("__n = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(empty))
+
+
 def jaccard_table(docs: DataFrame) -> DataFrame:
     return linked_documents(docs).select("doc_id", "n_shingles", "component_id")

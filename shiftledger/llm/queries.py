@@ -10,7 +10,10 @@ from shiftledger.llm.decontaminate import contamination_table
 from shiftledger.llm.hilbert_shards import shard_documents
 from shiftledger.llm.jaccard_join import jaccard_table
 from shiftledger.llm.language_id import language_table
+from shiftledger.llm.pii_boosting import pii_table
 from shiftledger.llm.quality_neighbours import quality_table
+from shiftledger.llm.sentence_spans import span_table
+from shiftledger.llm.suffix_dedup import suffix_table
 from shiftledger.llm.topk_search import top_k, whole_vectors
 
 
@@ -22,6 +25,14 @@ def op2_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"))
 
 
+def op3_pii_boosting(spark: SparkSession, folder: str) -> DataFrame:
+    return pii_table(table(spark, folder, "documents"))
+
+
+def op4_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return span_table(table(spark, folder, "documents"))
+
+
 def op5_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return quality_table(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -35,6 +46,10 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_table(table(spark, folder, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_table(table(spark, folder, "documents"))
 
@@ -50,9 +65,12 @@ QUERIES = {
     for f in (
         op1_language_id,
         op2_hilbert_shards,
+        op3_pii_boosting,
+        op4_sentence_spans,
         op5_quality_neighbours,
         op6_topk_search,
         op7_best_fit_packing,
+        op8_suffix_dedup,
         op9_jaccard_join,
         op10_decontaminate,
     )
