@@ -1,9 +1,9 @@
 """Packed arrays that Spark shuffles: one row per batch and bucket instead of one per value.
 
-A map task turns a batch of documents into numpy arrays, deals their rows over hash buckets and emits
+Chunks and buckets are sized so that a worker holds little at a time. A map task turns a batch of documents into numpy arrays, deals their rows over hash buckets and emits
 one binary row per bucket. Spark shuffles these rows by bucket; a reduce task joins the arrays of its
-buckets again. Buckets are as many as the session's shuffle partitions, so their size is that of any
-shuffle partition.
+buckets again. There are two buckets for each of the session's shuffle partitions, so a bucket is half
+as large as any shuffle partition.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 DEALT = "bucket int, payload binary"
+BUCKETS_PER_TASK = 2
 NO_ID = np.iinfo(np.int64).max
 
 

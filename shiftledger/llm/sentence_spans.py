@@ -16,10 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from shiftledger.llm.common import Rolling, mix, stored, tasks
+from shiftledger.llm.common import Rolling, tasks
 from shiftledger.llm.dealing import (
+    BUCKETS_PER_TASK,
     NO_ID,
     bucket_of,
     chunks,
@@ -33,7 +35,7 @@ from shiftledger.llm.dealing import (
 
 SENTENCES = 3
 WORDS = 15
-GROUPS_PER_TASK = 4
+GROUPS_PER_TASK = 1
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _MARK = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -119,7 +121,13 @@ def _kind(kind: int, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _settle(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids, keys, at = gather(batches, [np.uint64, np.int64, np.int64, np.int32])
+        held = []
+        for b in batches:
+            settled = pc.equal(b.column("kind"), 1)
+            b = b.select(["bucket", "payload"])
+            yield b.filter(settled).rename_columns(["t", "payload"])
+            held.append(b.filter(pc.invert(settled)))
+        hashes, ids, keys, at = gather(held, [np.uint64, np.int64, np.int64, np.int32])
         if not len(hashes):
             return
         order, first = _split_repeats(hashes, ids, keys, at)
@@ -187,17 +195,13 @@ def drop_repeated_spans(docs: DataFrame) -> DataFrame:
     alike. Texts of fewer than three sentences or fifteen words have no span and are kept whole.
     """
     n = tasks(docs.sparkSession)
-    groups = GROUPS_PER_TASK * n
+    groups, buckets = GROUPS_PER_TASK * n, BUCKETS_PER_TASK * n
     source = keyed(docs, groups)
-    dealt = stored(
-        source.select("doc_id", "text", "rk").mapInArrow(_deal_spans(n, groups), _MOVED), "spans"
-    )
     marks = (
-        dealt.where("kind = 0")
-        .select("bucket", "payload")
-        .repartition(n, "bucket")
+        source.select("doc_id", "text", "rk")
+        .mapInArrow(_deal_spans(buckets, groups), _MOVED)
+        .repartition(buckets, "kind", "bucket")
         .mapInArrow(_settle(groups), "t int, payload binary")
-        .unionByName(dealt.where("kind = 1").selectExpr("bucket as t", "payload"))
     )
     schema = ", ".join(f"{c} {t}" for c, t in _CUT.items())
     return source.groupBy("t").cogroup(marks.groupBy("t")).applyInArrow(_cut, schema)

@@ -12,10 +12,10 @@ contexts all but those of the smallest document are covered whole. What is left
 smallest document of each context, where a token has several contexts: the edges of repeats.
 
 Suffix array. Open suffixes are range-partitioned by their leading tokens with sampled splitters. Each
-bucket is sorted by multikey quicksort (eight bytes at a time, only runs of equal suffixes go on to the
-next eight); strings at the same offset from equal tokens are compared in it. A token that stands at
-either end of a bucket may go on in the next one: its strings are compared across boundaries, by one row
-per bucket and string. So a token that a third of all documents share splits over many buckets.
+bucket holds whole tokens and is sorted by multikey quicksort (eight bytes at a time, only runs of equal suffixes go on to the
+next eight); strings at the same offset from equal tokens are compared in it. A token with
+many open contexts, such as one that a third of all documents share, is split over as many parts as it
+needs: its strings are compared across boundaries, by one row per bucket and string.
 """
 
 from __future__ import annotations
@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from shiftledger.llm.common import Rolling, mix, stored, tasks
 from shiftledger.llm.dealing import (
+    BUCKETS_PER_TASK,
     bucket_of,
     chunks,
     data_of,
@@ -43,8 +44,10 @@ from shiftledger.llm.dealing import (
 LENGTH = 50
 TOKEN = 20
 BEFORE = LENGTH - TOKEN
-GROUPS_PER_TASK = 4
+GROUPS_PER_TASK = 1
 WHOLE = -1
+# A token with more open contexts than this is split over several parts of the suffix array.
+CROWDED = 50_000
 
 _MARK = [np.int64, np.int32, np.int32]  # row key, anchor, offsets as bits or WHOLE
 
@@ -82,7 +85,7 @@ def _kind(kind: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _deal_anchors(buckets: int):
+def _deal_anchors(buckets: int, groups: int):
     """Anchors by token, the smallest document of each context only; the others are settled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,16 +106,15 @@ def _deal_anchors(buckets: int):
             first[order] = np.repeat(own[order][new], np.diff(np.append(new, len(order))))
             later = own > first
             if later.any():
-                yield _settled(keys[number[later]], at[later], buckets)
+                yield _settled(keys[number[later]], at[later], groups)
             keep = np.flatnonzero(~later)
             yield _anchor_rows(buckets, token[keep], context[keep], ids, keys, number[keep], at[keep])
 
     return run
 
 
-def _settled(keys, at, buckets) -> pa.RecordBatch:
+def _settled(keys, at, groups) -> pa.RecordBatch:
     """Anchors whose whole context is covered, by group of documents."""
-    groups = GROUPS_PER_TASK * buckets
     return _kind(
         1,
         deal(
@@ -166,12 +168,17 @@ def _read_anchors(batches: Iterator[pa.RecordBatch]):
     return [np.concatenate(p) if p else None for p in parts[:5]]
 
 
-def _settle(buckets: int):
-    """Kind 1: anchors covered whole. Kind 2: open anchors, those of each context's first document."""
-    groups = GROUPS_PER_TASK * buckets
+def _settle(groups: int, crowded: int):
+    """Kind 1: anchors covered whole, those that come settled too. Kind 2: open anchors, those of each context's first document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, context, ids, keys, at = _read_anchors(batches)
+        held = []
+        for b in batches:
+            settled = pc.equal(b.column("kind"), 1)
+            yield b.filter(settled)
+            held.append(b.filter(pc.invert(settled)))
+        token, context, ids, keys, at = _read_anchors(held)
+        del held
         if token is None:
             return
         order = np.lexsort((ids, context, token))
@@ -186,24 +193,26 @@ def _settle(buckets: int):
         later = ids > spread(new_context, ids[new_context])
         if later.any():
             o = order[later]
-            yield _settled(keys[o], at[o], buckets)
+            yield _settled(keys[o], at[o], groups)
         left = open_token & ~later
         if left.any():
             o = order[left]
-            yield _kind(2, deal(keys[o] % groups, [keys[o], at[o]]))
+            split = spread(new_token, contexts // crowded + 1)[left].astype(np.int32)
+            yield _kind(2, deal(keys[o] % groups, [keys[o], at[o], split]))
 
     return run
 
 
 def _contexts(docs: pa.Table, marks: pa.Table) -> pa.Table:
     """The suffixes at the open anchors of a group of documents, with what stands before them."""
-    parts = [unpack(p.as_buffer(), [np.int64, np.int32]) for p in marks.column("payload")]
-    out = {n: [] for n in ("doc_id", "rk", "at", "left", "right", "suffix")}
+    parts = [unpack(p.as_buffer(), [np.int64, np.int32, np.int32]) for p in marks.column("payload")]
+    out = {n: [] for n in ("doc_id", "rk", "at", "left", "right", "split", "suffix")}
     if parts:
-        keys = np.concatenate([p[0] for p in parts])
-        at = np.concatenate([p[1] for p in parts])
+        keys, at, split = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.lexsort((at, keys))
-        keys, at = keys[order], at[order]
+        # Copies of a row bring the same anchors.
+        order = order[run_starts(keys[order], at[order])]
+        keys, at, split = keys[order], at[order], split[order]
         done = set()
         columns = (docs.column(c).to_pylist() for c in ("doc_id", "text", "rk"))
         for doc_id, text, rk in zip(*columns):
@@ -214,7 +223,7 @@ def _contexts(docs: pa.Table, marks: pa.Table) -> pa.Table:
             data = data_of(text)
             n = len(data)
             padded = np.concatenate([np.zeros(BEFORE, np.uint8), data, np.zeros(LENGTH, np.uint8)])
-            a = np.unique(at[lo:hi]).astype(np.int64)
+            a = at[lo:hi].astype(np.int64)
             whole = padded[a[:, None] + np.arange(BEFORE + LENGTH)[None, :]]
             # The suffix first, then what stands before it, from near to far.
             turned = np.concatenate([whole[:, BEFORE:], whole[:, :BEFORE][:, ::-1]], 1)
@@ -222,9 +231,10 @@ def _contexts(docs: pa.Table, marks: pa.Table) -> pa.Table:
             out["doc_id"] += [doc_id] * len(a)
             out["rk"] += [rk] * len(a)
             out["at"] += a.tolist()
+            out["split"] += split[lo:hi].tolist()
             out["left"] += np.minimum(a, BEFORE).tolist()
             out["right"] += np.minimum(n - a, LENGTH).tolist()
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary()]
     return pa.table({n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds)})
 
 
@@ -255,7 +265,7 @@ def _compare(groups: int):
     """Strings of one bucket of the suffix array.
 
     kind 0: offsets at which an anchor's strings are in a smaller document of the bucket. kind 1: strings
-    of tokens at the bucket's ends, of their smallest document here, still to compare elsewhere.
+    of split tokens, of their smallest document here, still to compare elsewhere.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,9 +284,8 @@ def _compare(groups: int):
         order = by_id[order]
         text, ids, keys, at = text[order], ids[order], keys[order], at[order]
         left, right = left[order], right[order]
-        token_new = run_starts(*text[:, :TOKEN].T)
-        token = np.cumsum(token_new)
-        edge = (token == 1) | (token == token[-1])
+        # Parts of a crowded token are compared across boundaries.
+        edge = column("split")[order] > 1
         name = np.zeros(len(ids), np.uint64)
         for i in range(TOKEN):
             name = mix(name + text[:, i] + np.uint64(1))
@@ -363,7 +372,7 @@ def _cut(docs: pa.Table, marks: pa.Table) -> pa.Table:
     parts = [
         unpack(p.as_buffer(), _MARK) for p in marks.column("payload") if p.is_valid
     ]
-    single = marks.filter(pa.compute.is_valid(marks.column("rk")))
+    single = marks.filter(pc.is_valid(marks.column("rk")))
     parts.append([single.column(c).to_numpy() for c in ("rk", "at", "bits")])
     keys, at, bits = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.argsort(keys, kind="stable")
@@ -401,14 +410,15 @@ def drop_repeated_bytes(docs: DataFrame) -> DataFrame:
     with equal ids do not cost each other any either. Other columns are left aside.
     """
     n = tasks(docs.sparkSession)
-    groups = GROUPS_PER_TASK * n
+    groups, buckets = GROUPS_PER_TASK * n, BUCKETS_PER_TASK * n
     source = keyed(docs, groups)
     moved = "kind int, bucket int, payload binary"
-    dealt = source.select("doc_id", "text", "rk").mapInArrow(_deal_anchors(n), moved)
-    both = stored(dealt, "anchors")
-    local = both.where("kind = 1").selectExpr("bucket as t", "payload")
     settled = stored(
-        both.where("kind = 0").repartition(n, "bucket").mapInArrow(_settle(n), moved), "settled"
+        source.select("doc_id", "text", "rk")
+        .mapInArrow(_deal_anchors(buckets, groups), moved)
+        .repartition(buckets, "kind", "bucket")
+        .mapInArrow(_settle(groups, CROWDED), moved),
+        "settled",
     )
     whole = settled.where("kind = 1").selectExpr("bucket as t", "payload")
     open_ = settled.where("kind = 2").selectExpr("bucket as t", "payload")
@@ -416,9 +426,9 @@ def drop_repeated_bytes(docs: DataFrame) -> DataFrame:
         source.groupBy("t")
         .cogroup(open_.groupBy("t"))
         .applyInArrow(
-            _contexts, "doc_id long, rk long, at int, left int, right int, suffix binary"
+            _contexts, "doc_id long, rk long, at int, left int, right int, split int, suffix binary"
         )
-        .repartitionByRange(n, "suffix")
+        .repartitionByRange(n, F.substring("suffix", 1, TOKEN), F.pmod("rk", "split"))
     )
     found = suffixes.mapInArrow(_compare(groups), ", ".join(f"{c} {t}" for c, t in _FOUND.items()))
     # One row per bucket and string: compare what continues in another bucket.
@@ -428,7 +438,7 @@ def drop_repeated_bytes(docs: DataFrame) -> DataFrame:
         .where("doc_id > least")
     )
     columns = ["t", "payload", "rk", "at", "bits"]
-    whole_marks = local.unionByName(whole).unionByName(found.where("kind = 0").select("t", "payload"))
+    whole_marks = whole.unionByName(found.where("kind = 0").select("t", "payload"))
     marks = whole_marks.selectExpr(
         "t", "payload", "cast(null as long) as rk", "cast(null as int) as at", "cast(null as int) as bits"
     ).unionByName(across.select(*columns))
