@@ -70,6 +70,19 @@ def fingerprints(hashes: Column, count: Column) -> Column:
     return F.element_at(F.transform(F.array(grams), pick), 1)
 
 
+def with_neighbours(marks: Column, column: str) -> Column:
+    """Fingerprints with the words around them in which every window of SPAN words over them lies."""
+    before = lambda m: F.greatest(m["p"] - (SPAN - K), F.lit(0))
+    return F.transform(
+        marks,
+        lambda m: F.struct(
+            m["h"].alias("h"),
+            before(m).alias("s"),
+            F.array_join(F.slice(F.col(column), before(m) + 1, m["p"] + SPAN - before(m)), " ").alias("ws"),
+        ),
+    )
+
+
 def windows(column: str, starts: Column, length: int) -> Column:
     """(start, words of the window as one text) at the given starts."""
     return F.transform(
@@ -133,31 +146,27 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     texts_of_windows = window_of.select("w").distinct()
 
-    # One scan of the texts: counts of words, and the fingerprints that the benchmark has too.
+    # One scan of the texts. Fingerprints carry the words around them, so that those which the
+    # benchmark has too are extended without reading the texts again.
     near = (
         hashed(text)
-        .select("key", marks(None).alias("m"))
-        .select("key", F.col("m.h").alias("h"), F.col("m.p").alias("p"))
-        .join(known, "h")
-        .select("key", F.explode(F.sequence(F.greatest(F.col("p") - (SPAN - K), F.lit(0)), "p")).alias("s"))
-    )
-    places = stored(
-        near.groupBy("key").agg(F.collect_set("s").alias("starts")), "places"
-    )
-    found = (
-        text.join(places, "key")
-        .where("starts is not null")
         .select(
             "key",
-            F.explode(
-                windows(
-                    "ws",
-                    F.filter("starts", lambda s: s + SPAN <= F.size("ws")),
-                    SPAN,
-                )
-            ).alias("x"),
-            F.lit(SPAN).alias("length"),
+            F.explode(with_neighbours(fingerprints(F.col("hs"), F.col("n")), "ws")).alias("m"),
         )
+        .select("key", F.col("m.h").alias("h"), F.col("m.s").alias("first"), F.col("m.ws").alias("near"))
+        .join(known, "h")
+        .select("key", "first", F.split("near", " ").alias("ws"))
+    )
+    found = near.select(
+        "key",
+        "first",
+        F.explode(windows("ws", _starts(F.size("ws"), SPAN), SPAN)).alias("x"),
+        F.lit(SPAN).alias("length"),
+    ).select(
+        "key",
+        F.struct((F.col("first") + F.col("x.s")).alias("s"), F.col("x.w").alias("w")).alias("x"),
+        "length",
     )
     for length in sorted(lengths):
         found = found.unionByName(
