@@ -52,11 +52,9 @@ def sentence_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after = np.flatnonzero(ends) + 1
     # White space between sentences belongs to the one before.
     begins = np.flatnonzero(~space[:n] & np.concatenate([[True], space[: n - 1]]))
-    cut = np.unique(begins[np.minimum(np.searchsorted(begins, after), len(begins) - 1)]) if len(
-        begins
-    ) else np.zeros(0, np.int64)
+    next_ = np.searchsorted(begins, after)
+    cut = np.unique(begins[next_[next_ < len(begins)]])
     cut = cut[cut > 0]
-    cut = cut[np.searchsorted(after, cut, side="right") > 0]
     start = np.concatenate([[0], cut])
     return start, np.append(start[1:], n)
 
