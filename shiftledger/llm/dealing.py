@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-CHUNK_BYTES = 8 << 20
+from shiftledger.llm.common import small_batches
+
+CHUNK_BYTES = 4 << 20
 DEALT = "bucket int, payload binary"
 BUCKETS_PER_TASK = 2
 NO_ID = np.iinfo(np.int64).max
@@ -22,6 +24,7 @@ NO_ID = np.iinfo(np.int64).max
 
 def keyed(docs: DataFrame, groups: int) -> DataFrame:
     """doc_id, text, rk and t: ``rk`` stands for equal (id, text) rows, ``t`` is its group."""
+    small_batches(docs.sparkSession)
     rk = F.xxhash64("doc_id", "text")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

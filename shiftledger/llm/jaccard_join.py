@@ -33,9 +33,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from shiftledger.llm.common import Rolling, mix, stored, tasks
+from shiftledger.llm.common import Rolling, mix, small_batches, stored, tasks
 from shiftledger.llm.dealing import (
     BUCKETS_PER_TASK,
     DEALT,
@@ -240,7 +240,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _near(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     """Whether sizes and parity bits leave it open that the sets link."""
     out = []
@@ -319,7 +319,7 @@ def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
     return np.stack([a[new], b[new]])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b):
@@ -378,6 +378,7 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     Repeated rows are rows of one node. An empty table gives an empty table; other columns are left.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = BUCKETS_PER_TASK * tasks(spark)
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

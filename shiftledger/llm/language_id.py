@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shiftledger.llm.common import crc_of_id
+from shiftledger.llm.common import crc_of_id, small_batches
 
 WINDOW = 64
 BATCH_WINDOWS = 2048
@@ -24,6 +24,8 @@ BATCH_WINDOWS = 2048
 SAMPLE_DOCS = 500
 SAMPLE_CHARS = 256
 LANGUAGES = 64
+# A small sample is gone through more often, so that training takes so many steps.
+LEAST_STEPS = 160
 UNKNOWN = "und"
 
 
@@ -145,7 +147,9 @@ class ByteNetwork:
         rng = np.random.default_rng(11)
         weights = self.weights()
         first, second = ([np.zeros_like(w) for w in weights] for _ in range(2))
-        step, steps = 0, epochs * max(1, -(-len(windows) // batch))
+        each = max(1, -(-len(windows) // batch))
+        epochs = max(epochs, -(-LEAST_STEPS // each))
+        step, steps = 0, epochs * each
         for _ in range(epochs):
             order = rng.permutation(len(windows))
             for at in range(0, len(order), batch):
@@ -276,6 +280,7 @@ def identify(docs: DataFrame, network: ByteNetwork | None = None) -> DataFrame:
     A text that is missing or has no letter is ``und`` with score 0, and so is every text when nothing
     could be learned. Ties between languages go to the first in order of name. Other columns stay.
     """
+    small_batches(docs.sparkSession)
     network = network or train(docs)
     known = network.languages
 

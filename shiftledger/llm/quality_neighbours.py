@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from shiftledger.llm.common import Rolling, crc_of_id
+from shiftledger.llm.common import Rolling, crc_of_id, small_batches
 
 TERMS = 2048
 FORM = 8
@@ -167,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> LatentVotes:
 
 def score(docs: DataFrame, model: LatentVotes) -> DataFrame:
     """``docs`` with ``score``; the text alone decides. Missing texts count as empty."""
+    small_batches(docs.sparkSession)
     # Plain arrays: a broadcast is read without this package.
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
