@@ -113,19 +113,19 @@ def credit_report(source: str, hours: str, names: tuple[str, str, str, str, str,
     return f"""select id as "IDX", name as "Payroll Name", {hours} as "{h}", {finite('due')} as "{d}",
       {finite('paid')} as "{paid}", {finite('variance')} as "{var}", {finite('ratio')} as "{ratio}",
       rate_paid as "{rate}"
-    from {source} where abs(variance) > 0.01 order by name, id limit 200"""
+    from {source} where abs(variance) > 0.01 order by name, id"""
 
 
-_PUNCH_ORDER = "order by employee, id, in_punch, out_punch, seq limit 200"
-_DAILY_ORDER = "order by employee, id, workday, location limit 200"
+_PUNCH_ORDER = "order by employee, id, in_punch, out_punch, seq"
+_DAILY_ORDER = "order by employee, id, workday, location"
 
 REPORTS = {
     "overtime_checks_variances": f"""select id as "IDX", name as "Payroll Name", {finite('due')} as "1.5 OT Earnings Due ($)",
       paid as "Actual Pay Check ($)", {finite('variance')} as "Variance ($)"
-      from due_ot where abs(variance) > 0.01 order by name, id limit 200""",
+      from due_ot where abs(variance) > 0.01 order by name, id""",
     "doubletime_checks_variances": f"""select id as "IDX", name as "Payroll Name", {finite('due')} as "Double Time Due ($)",
       paid as "Actual Pay Check Dble", {finite('variance')} as "Variance Dble ($)"
-      from due_dt where abs(variance) > 0.01 order by name, id limit 200""",
+      from due_dt where abs(variance) > 0.01 order by name, id""",
     "break_credit_variances": credit_report(
         "due_break",
         "brk_hours",
@@ -163,18 +163,18 @@ REPORTS = {
         ),
     ),
     "flsa_check": """select id as "IDX", name as "Payroll Name", pos as "Position Status", flsa as "FLSA Status",
-      rate_paid as "Regular Rate Paid" from reg where rate_paid < 100 and flsa = 'E' order by name, id limit 200""",
+      rate_paid as "Regular Rate Paid" from reg where rate_paid < 100 and flsa = 'E' order by name, id""",
     "min_wage_check": f"""select id as "IDX", name as "Payroll Name", pos as "Position Status", flsa as "FLSA Status",
       hn as "Regular Hours", {finite('base_rate')} as "Base Rate", rate_paid as "Regular Rate Paid",
       sick_earn as "Sick Pay Earnings", vac_earn as "Vacation Earnings"
-      from wages where min_check = 'CHECK' and hn > 0 order by name, id limit 200""",
+      from wages where min_check = 'CHECK' and hn > 0 order by name, id""",
     "non_active_check": f"""select id as "IDX", name as "Payroll Name", pos as "Position Status", job as "Job Description",
       {iso('hired')} as "Hire Date", vac_hours as "Vacation Hours", {iso('ended')} as "Termination Date",
-      hn as "Straight Hours Worked" from reg where hn > 0 and pos in ('Terminated', 'Leave') order by name, id limit 200""",
+      hn as "Straight Hours Worked" from reg where hn > 0 and pos in ('Terminated', 'Leave') order by name, id""",
     "break_credit_summary": """select id as "ID", employee as "Employee", paid as "Paid Break Credit (hrs)",
       due as "Due Break Credit (hrs)", variance as "Variance", sb as "Short Break", nb as "Did Not Break",
       fm as "First Meal Break", ot as "Over Twelve"
-      from summary where variance is distinct from 0 order by paid desc nulls last, id limit 200""",
+      from summary where variance is distinct from 0 order by paid desc nulls last, id""",
     "short_break_earned_credits": f"""select employee as "Employee", id as "ID", {iso('prev_in')} as "Prev In Punch",
       {iso('prev_out')} as "Prev Out Punch", break_min as "Break Time (min)", {iso('in_punch')} as "In Punch",
       punch_hours as "Punch Length (hrs)", paid_break as "Paid Break Credit (hrs)", shift_hours as "Hours Worked Shift"
@@ -299,7 +299,7 @@ OTHER = {
       16.5::double as state_min_wage from punches group by location""",
     "punch_query": f"""select id as "ID", {iso('in_punch')} as "In Punch", {iso('out_punch')} as "Out Punch", employee as "Employee",
       shift_no::bigint as "Shift Number", is_break as "Is Break?" from facts where work_date between date '2024-01-07' and date '2024-01-20'
-      order by in_punch, id, out_punch limit 300""",
+      order by in_punch, id, out_punch""",
     "daily_query": """select id as "ID", location as "Location", cast(workday as varchar) as "Attributed_Workday",
       hours_worked as "Hours_Worked", regular_hours as "Regular_Hrs", ot_hours as "OT_Hrs", dt_hours as "DT_Hrs"
       from audited where workday between date '2024-01-08' and date '2024-01-14'""",
@@ -318,7 +318,7 @@ OTHER = {
     "json_report": """select id as "ID", cast(workday as varchar) as "Trigger Date",
       '{"Employee":"' || employee || '","First_Day_of_Streak":"' || first_day || '","Consec_OT_Hours":' || consec_ot ||
       ',"Consec_DT_Hours":' || consec_dt || '}' as row from audited where consec_ot > 0
-      order by employee, id, workday, location limit 200""",
+      order by employee, id, workday, location""",
 }
 
 

@@ -91,34 +91,28 @@ class KeyProfile:
         return local_frame(spark, self.hot, self.schema)
 
 
-_profiles: dict = {}
-
-
 def profile_keys(df: DataFrame, keys: Sequence[str]) -> KeyProfile:
     """Count rows per key once and keep the keys above the limit.
 
-    Only key columns are read and the counts are pre-aggregated before the shuffle. The outcome is
-    remembered per plan: a stale profile changes the physical form, never the result.
+    Only key columns are read and the counts are pre-aggregated before the shuffle. The outcome only
+    chooses the physical form: rows without a full key are left out whatever it says.
     """
     spark = df.sparkSession
     keys = tuple(keys)
     limit = _conf_int(spark, HOT_ROWS_CONF, HOT_ROWS_DEFAULT)
     picked = df.select(*keys)
-    memo = (spark.sparkContext.applicationId, picked.semanticHash(), keys, limit)
-    if memo not in _profiles:
-        absent = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-        counts = picked.groupBy(*keys).count()
-        row = counts.agg(
-            F.collect_list(
-                F.when(~absent & (F.col("count") > limit), F.struct(*keys, "count"))
-            ).alias("hot"),
-            F.coalesce(F.max(absent), F.lit(False)).alias("missing"),
-        ).first()
-        hot = tuple(tuple(h[k] for k in keys) for h in row["hot"])
-        _profiles[memo] = KeyProfile(
-            keys, hot, sum(h["count"] for h in row["hot"]), row["missing"], picked.schema
-        )
-    return _profiles[memo]
+    absent = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    counts = picked.groupBy(*keys).count()
+    row = counts.agg(
+        F.collect_list(
+            F.when(~absent & (F.col("count") > limit), F.struct(*keys, "count"))
+        ).alias("hot"),
+        F.coalesce(F.max(absent), F.lit(False)).alias("missing"),
+    ).first()
+    hot = tuple(tuple(h[k] for k in keys) for h in row["hot"])
+    return KeyProfile(
+        keys, hot, sum(h["count"] for h in row["hot"]), row["missing"], picked.schema
+    )
 
 
 def null_safe_join(
@@ -132,6 +126,12 @@ def null_safe_join(
     return left.join(r, reduce(lambda a, b: a & b, same), "left").drop(*[f"__r_{c}" for c in keys])
 
 
+def _adjacent(cols: dict[str, tuple[str, int]]) -> None:
+    """Both forms look one row away; other offsets are refused rather than answered wrongly."""
+    if any(abs(offset) != 1 for _, offset in cols.values()):
+        raise ValueError("neighbours are one row away: the offset is 1 or -1")
+
+
 class Timeline:
     """A frame of ordered groups. Methods return a new timeline with added columns."""
 
@@ -178,6 +178,7 @@ class WindowTimeline(Timeline):
 
     def neighbours(self, **cols: tuple[str, int]) -> "Timeline":
         """name=(column, offset): the value ``offset`` rows away, negative meaning earlier."""
+        _adjacent(cols)
         w = self._ordered()
         return self.add(
             **{
@@ -315,6 +316,7 @@ class ChunkedTimeline(Timeline):
         return Window.partitionBy(*self.keys, *by).orderBy(_CHUNK)
 
     def neighbours(self, **cols):
+        _adjacent(cols)
         names = sorted({c for c, _ in cols.values()})
         edge = F.struct(*self.order, _ROW)
         values = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(names)])
@@ -446,9 +448,7 @@ def over_lanes(
     """
     if profile is None:
         profile = profile_keys(df, keys)
-    usual = df
-    if profile.missing:
-        usual = usual.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    usual = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
     if profile.hot:
         usual = is_hot(usual, profile, "left_anti")
     if cluster_first:

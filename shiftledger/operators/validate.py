@@ -87,6 +87,8 @@ def check_pay_dates(
     out = per_run.join(days, TENANT, "left").join(samples, TENANT, "left")
     off = F.pmod(F.datediff("target", "anchor"), F.col("length"))
     bad_text, misaligned = F.col("target").isNull(), is_true(off != 0)
+    # Without an anchor, a length or a gap nothing can be checked or computed for the client.
+    unruled = F.col("anchor").isNull() | F.col("length").isNull() | F.col("first_day").isNull()
     unreadable = F.col("file_first").isNull()
     elsewhere = is_true(F.col("last_day") < F.col("file_first")) | is_true(
         F.col("first_day") > F.col("file_last")
@@ -104,6 +106,7 @@ def check_pay_dates(
     after = F.date_add("target", F.col("length") - off).cast("string")
     message = (
         F.when(bad_text, text("%s is not a date", "pay_date"))
+        .when(unruled, text("no complete pay period rules for client %s", "client_id"))
         .when(
             misaligned,
             text("pay date %s is off the %s-day cycle; nearest: %s, %s", "target", "length", before, after),
@@ -126,7 +129,7 @@ def check_pay_dates(
         .otherwise("")
     )
     error = (
-        F.when(bad_text | misaligned | unreadable | elsewhere, HARD_ERROR)
+        F.when(bad_text | unruled | misaligned | unreadable | elsewhere, HARD_ERROR)
         .when(stragglers, STRAGGLERS)
         .otherwise(NONE)
     )

@@ -36,7 +36,7 @@ class Audit:
     register: DataFrame
     skipped: dict[str, str]
 
-    def reports(self, limit: int | None = 200) -> dict[str, DataFrame]:
+    def reports(self, limit: int | None = None) -> dict[str, DataFrame]:
         return all_reports(self.register, self.punches, self.daily, self.summary, limit)
 
 
@@ -56,11 +56,10 @@ def audit(
     require_inputs(punches, register)
     profile = profile or profile_keys(punches, KEYS)
     facts = punch_facts(punches, rules, register, waivers, profile)
-    if profile.missing:
-        loose = punches.where("id is null").withColumns(
-            {"new_shift": F.lit(True), "has_waiver": F.lit(False), "short_shift": F.lit(False)}
-        )
-        facts = facts.unionByName(loose, allowMissingColumns=True)
+    loose = punches.where("id is null").withColumns(
+        {"new_shift": F.lit(True), "has_waiver": F.lit(False), "short_shift": F.lit(False)}
+    )
+    facts = facts.unionByName(loose, allowMissingColumns=True)
     return Audit(
         facts,
         daily_facts(punches, rules, register, carryover, profile),

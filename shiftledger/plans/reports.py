@@ -130,7 +130,7 @@ def report_columns(name: str) -> list[str]:
     return [renames.get(c, c) for c in columns]
 
 
-def register_report(name: str, facts: DataFrame, limit: int | None = fv.REPORT_ROWS) -> DataFrame:
+def register_report(name: str, facts: DataFrame, limit: int | None = None) -> DataFrame:
     """One register report. It is empty when the export lacked the columns of the check."""
     columns, renames = fv.REGISTER_REPORTS[name]
     if all(n in facts.columns for n in fv.CHECK_INPUTS[name]):
@@ -149,7 +149,7 @@ def time_card_report(
     punches: DataFrame | None = None,
     daily: DataFrame | None = None,
     summary: DataFrame | None = None,
-    limit: int | None = fv.REPORT_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     source, condition, labels, order = _TIME_CARD[name]
     frame = {"punches": punches, "daily": daily, "summary": summary}[source]
@@ -167,7 +167,7 @@ def all_reports(
     punches: DataFrame,
     daily: DataFrame,
     summary: DataFrame,
-    limit: int | None = fv.REPORT_ROWS,
+    limit: int | None = None,
 ) -> dict[str, DataFrame]:
     out = {n: register_report(n, register, limit) for n in REGISTER_REPORTS}
     out.update(

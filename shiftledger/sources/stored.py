@@ -31,7 +31,7 @@ def query_punches(
     start=None,
     end=None,
     columns: Sequence[str] = (),
-    limit: int | None = fv.PUNCH_QUERY_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Stored punches in time order: base columns plus ``columns``.
 

@@ -60,14 +60,14 @@ def test_unused_windows_are_pruned(spark, stored):
 
 def test_reports_limit_before_the_shuffle(spark):
     i = inputs(spark, SMALL)
-    text = plan(time_card_report("short_shift", punches=i.facts))
+    text = plan(time_card_report("short_shift", punches=i.facts, limit=200))
     assert "WindowGroupLimit" in text and "Partial" in text
-    assert "WindowGroupLimit" not in plan(time_card_report("short_shift", punches=i.facts, limit=None))
+    assert "WindowGroupLimit" not in plan(time_card_report("short_shift", punches=i.facts))
 
 
 def test_punch_query_prunes_and_pushes(spark, stored):
     df = stored.withColumnsRenamed({"id": "ID", "in_punch": "In Punch", "out_punch": "Out Punch", "employee": "Employee"})
-    text = plan(query_punches(df, "demo", "AAA0000003", "2024-01-08", "2024-01-09"))
+    text = plan(query_punches(df, "demo", "AAA0000003", "2024-01-08", "2024-01-09", limit=300))
     assert "TakeOrderedAndProject" in text
     assert re.search(r"PartitionFilters: \[[^\]]*client_id", text)
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(id,AAA0000003\)[^\]]*in_punch", text)
