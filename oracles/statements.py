@@ -312,6 +312,18 @@ OTHER = {
     "file_neighbours": """select p.seq, p.id, (select arg_max(b.id, b.seq) from punches b where b.seq < p.seq
         and b.seq >= p.seq - 1000) as prev_id,
       (select arg_min(a.id, a.seq) from punches a where a.seq > p.seq and a.seq <= p.seq + 1000) as next_id from punches p""",
+    "intake_punches": f"""with e as (select user_id as u, event_id as e, date_trunc('minute', ts) as tin from events
+        where user_id is not null and event_id is not null and event_id % 50 <> 3),
+      p as (select u, e, {iso('tin')} as in_punch, {iso("tin + to_minutes(cast(30 + e % 571 as integer))")} as out_punch from e)
+      select 'AAA' || lpad(cast(u as varchar), 7, '0') as id, ' AA' as location, 'Doe, ' || u as employee, in_punch, out_punch,
+        'ok' as status from p where u % 2 = 0
+      union all select 'BBB0' || lpad(cast(u as varchar), 6, '0'), 'BBB', 'W' || u, in_punch, out_punch, 'ok' from p
+        where u % 2 = 1 and u % 10 <> 1 and e % 20 <> 7""",
+    "intake_register": """select 'AAA0' || lpad(cast(c_custkey as varchar), 6, '0') as id, c_name || ', X' as name,
+      case when c_custkey % 9 <> 4 then '2024-01-26T00:00:00' end as paid_on, (c_custkey % 80)::double as hours,
+      case when c_custkey % 3 <> 0 then (c_custkey % 7)::double end as ot, 'AAA' as location from customer""",
+    "intake_waivers": """select cast(c_custkey // 2 as varchar) as id, arg_min(c_custkey % 3 = 0, c_custkey) as has_waiver
+      from customer group by c_custkey // 2""",
     "run_counts": """select 'ta_rows' as name, count(*) as "rows" from punches union all
       select 'wfn_rows', count(*) from customer union all select 'waiver_rows', count(*) from waivers union all
       select 'anomalies_rows', count(*) from summary""",

@@ -72,11 +72,13 @@ def lookup_register(df: DataFrame, register: DataFrame | None, cols: Mapping[str
 
 
 def waivers_for_runs(waivers: DataFrame, runs: DataFrame) -> DataFrame:
-    """Repeat a client's waivers for each audited (client_id, pay_date).
+    """The waivers of each audited (client_id, pay_date).
 
+    Those filed with a pay date hold for that period; a list without pay dates is repeated for each.
     Waivers then carry the whole employee key, and joining them does not shuffle the punches again.
     """
-    return waivers.join(runs.select("client_id", "pay_date").distinct(), "client_id")
+    keys = [c for c in ("client_id", "pay_date") if c in waivers.columns]
+    return waivers.join(runs.select("client_id", "pay_date").distinct(), keys)
 
 
 def lookup_waivers(df: DataFrame, waivers: DataFrame | None) -> DataFrame:

@@ -153,11 +153,10 @@ def normalize_register(df: DataFrame, system: SourceSystem) -> DataFrame:
 def prepare_waivers(df: DataFrame) -> DataFrame:
     """One row per employee: the first row of the file decides whether there is a waiver.
 
+    A list that carries pay dates is decided for each of them; files are taken by name.
     ``min_by`` combines map-side, so repeated IDs are never gathered as rows.
     """
-    first = df.groupBy("client_id", F.col("ID").alias("id")).agg(
-        F.min_by("Check", "seq").alias("check")
-    )
-    return first.select(
-        "client_id", "id", is_true(F.lower(F.trim("check")) == "x").alias("has_waiver")
-    )
+    keys = [c for c in TENANT if c in df.columns]
+    order = F.struct(*[c for c in ("file", "seq") if c in df.columns])
+    first = df.groupBy(*keys, F.col("ID").alias("id")).agg(F.min_by("Check", order).alias("check"))
+    return first.select(*keys, "id", is_true(F.lower(F.trim("check")) == "x").alias("has_waiver"))

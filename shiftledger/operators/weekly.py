@@ -218,7 +218,11 @@ def daily_windows(
         t = period_totals(weekly_spillover(t).apply(to_hours))
         if in_period:
             t = t.apply(lambda df: df.where("fiscal_pay_date = pay_date"))
-        return first_rows(streak_report_columns(t)).select(*OUTPUT)
+        # Daily limits saw the location as written; it is stored trimmed, as the weekly rules look it up.
+        trimmed = first_rows(streak_report_columns(t)).apply(
+            lambda df: df.withColumn("location", F.trim("location"))
+        )
+        return trimmed.select(*OUTPUT)
 
     cols = [*KEYS, "employee", "location", "in_punch", "out_punch"]
     return over_lanes(

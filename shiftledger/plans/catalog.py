@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shiftledger.config import fixed_values as fv
-from shiftledger.config.systems import ADP, BLANK, Slice
+from shiftledger.config.systems import ADP, BLANK, PUNCH_SYSTEMS, REGISTER_SYSTEMS, Slice
 from shiftledger.functions import predicates as p
 from shiftledger.functions.semantics import hours, rnd
 from shiftledger.functions.timeline import CHUNK_ROWS_CONF, HOT_ROWS_CONF, shared_folder
@@ -31,6 +31,7 @@ from shiftledger.plans.reports import (
     time_card_report,
 )
 from shiftledger.sinks.store import AuditStore
+from shiftledger.sources import exports
 from shiftledger.sources.sample_tables import CLIENT, PAY_DATE, PRIOR_PAY_DATE, SampleTables
 from shiftledger.sources.stored import query_daily, query_punches
 
@@ -445,6 +446,102 @@ def _file_neighbours(i: Inputs) -> DataFrame:
     return lookups.file_neighbours(punches).select("seq", "id", "prev_id", "next_id")
 
 
+def _exported(i: Inputs, kind: str, head: list[str], line: str, source: DataFrame) -> DataFrame:
+    """Lines of exports as ``read_lines`` gives them: title lines, a header and a line per row.
+
+    ``source`` carries ``part``, the file, and ``row``; ``line`` is the expression of its text.
+    """
+    rows = source.select("part", (F.col("row") + len(head)).alias("seq"), F.expr(line).alias("value"))
+    top = F.posexplode(F.array(*[F.lit(h) for h in head])).alias("seq", "value")
+    heads = source.select("part").distinct().select("part", top)
+    return rows.unionByName(heads).select(
+        F.lit(CLIENT).alias("client_id"),
+        F.lit(PAY_DATE).alias("pay_date"),
+        F.concat(F.lit(f"{kind}-"), F.col("part").cast("string")).alias("file"),
+        F.lit(0).cast("long").alias("block"),
+        F.col("seq").cast("decimal(38,0)").alias("seq"),
+        "value",
+    )
+
+
+def _intake_punches(i: Inputs) -> DataFrame:
+    """Time cards of two systems, written from the events and read by the intake."""
+    events = i.tables.table("events").where("user_id is not null and event_id is not null").selectExpr(
+        "user_id % 4 as part",
+        "event_id as row",
+        "user_id",
+        "event_id",
+        "date_trunc('minute', ts) as tin",
+        "date_trunc('minute', ts) + make_dt_interval(0, 0, cast(30 + event_id % 571 as int)) as tout",
+    )
+    times = """date_format(tin, 'yyyy-MM-dd HH:mm:ss'), ',',
+      if(event_id % 50 = 3, '', date_format(tout, 'yyyy-MM-dd HH:mm:ss')), ',ok,,'"""
+    titles = [f"title {n}" for n in range(7)]
+    own = _exported(
+        i,
+        "time",
+        [*titles, "ID,Employee,In Punch,Out Punch, Status ,Status Date,In Punch Comment"],
+        f"""concat(' AAA', lpad(cast(user_id as string), 7, '0'), ' ,"Doe, ', user_id, '",', {times})""",
+        events.where("user_id % 2 = 0"),
+    )
+    other = _exported(
+        i,
+        "manager",
+        [
+            *titles[:5],
+            "Employee,Pay Group,Payroll File Number,In Punch,Out Punch,Status,Status Date,Apply To,Home Labor Category",
+        ],
+        f"""concat(if(user_id % 10 = 1, 'testee', concat('W', user_id)), ',BBB,',
+          lpad(cast(user_id as string), 6, '0'), ',', {times}, if(event_id % 20 = 7, 'Vacation', ''), ',x')""",
+        events.where("user_id % 2 = 1"),
+    )
+    intake = exports.parse_exports(own.unionByName(other), PUNCH_SYSTEMS)
+    return exports.normalized(intake, PUNCH_SYSTEMS, normalize.normalize_punches).select(
+        "id", "location", "employee", "in_punch", "out_punch", "status"
+    )
+
+
+def _intake_register(i: Inputs) -> DataFrame:
+    """A payroll export written from the customers and read by the intake."""
+    people = i.tables.table("customer").where("c_custkey is not null").selectExpr(
+        "0 as part", "c_custkey as row", "c_custkey", "c_name", "c_acctbal"
+    )
+    lines = _exported(
+        i,
+        "pay",
+        [*[f"title {n}" for n in range(5)], "CO.,FILE#,Payroll Name,PAY DATE,REG,OT"],
+        """concat('AAA,', c_custkey, ',"', c_name, ', X",', if(c_custkey % 9 = 4, 'bad', '2024-01-26'), ',',
+          c_custkey % 80, ',', if(c_custkey % 3 = 0, '', cast(c_custkey % 7 as string)))""",
+        people,
+    )
+    intake = exports.parse_exports(lines, REGISTER_SYSTEMS)
+    register = exports.normalized(intake, REGISTER_SYSTEMS, normalize.normalize_register)
+    return register.select(
+        F.col("IDX").alias("id"),
+        F.col("Payroll Name").alias("name"),
+        F.col("Pay Date").alias("paid_on"),
+        F.col("Regular Hours").alias("hours"),
+        F.col("Overtime Hours").alias("ot"),
+        F.col("Location").alias("location"),
+    )
+
+
+def _intake_waivers(i: Inputs) -> DataFrame:
+    """A waiver list written from the customers, with repeated IDs; its first row decides."""
+    people = i.tables.table("customer").where("c_custkey is not null").selectExpr(
+        "0 as part", "c_custkey as row", "c_custkey"
+    )
+    lines = _exported(
+        i,
+        "waivers",
+        ["ID,Check"],
+        "concat(c_custkey div 2, ',', if(c_custkey % 3 = 0, ' X ', if(c_custkey % 3 = 1, '', 'no')))",
+        people,
+    )
+    rows = exports.parse_exports(lines, [exports.WAIVER_LIST]).frames[exports.WAIVER_LIST.name]
+    return normalize.prepare_waivers(rows).select("id", "has_waiver")
+
+
 def _legacy_weekly_ot(i: Inputs) -> DataFrame:
     df = legacy.punch_overtime(i.facts, i.tables.rules, i.tables.profile)
     return df.drop(*TENANT)
@@ -533,6 +630,9 @@ def _catalog() -> dict[str, Callable[[Inputs], DataFrame]]:
             "upsert_result": _upsert_result,
             "outer_merge_fill": _outer_merge,
             "file_neighbours": _file_neighbours,
+            "intake_punches": _intake_punches,
+            "intake_register": _intake_register,
+            "intake_waivers": _intake_waivers,
             "legacy_weekly_ot": _legacy_weekly_ot,
             "legacy_rolling_days": _legacy_rolling_days,
             "run_counts": _run_counts,

@@ -9,7 +9,7 @@ Expected layout: ``root/client_id=<client>/pay_date=<yyyy-mm-dd>/<file>``, one r
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -18,10 +18,12 @@ from shiftledger.config import fixed_values as fv
 from shiftledger.config.systems import PUNCH_SYSTEMS, REGISTER_SYSTEMS, SourceSystem
 from shiftledger.operators.normalize import normalize_punches, normalize_register
 
-BROADCAST_FILES = 50_000
+# Rows of one task are numbered below this by Spark.
+_ROW_BITS = 33
+# Headers are looked for in splits that start in the first MiB, however small the splits are.
+HEAD_BYTES = 1 << 20
 
-# Line order: where the split starts (64 KiB steps, to 128 TiB) above the row in the split (31 bits).
-_STEP_BITS, _ROW_BITS = 16, 31
+LINE_SCHEMA = "value string, client_id string, pay_date date"
 
 WAIVER_LIST = SourceSystem("Waiver list", 0, ("ID", "Check"))
 
@@ -41,8 +43,11 @@ class Intake:
 
 
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
-    schema = "value string, client_id string, pay_date date"
-    lines = spark.read.schema(schema).text(root)
+    """Lines with their file, where their split starts, and ``seq``: (split start, row) in one number.
+
+    A decimal holds both whole, so the order is right for splits and files of any size.
+    """
+    lines = spark.read.schema(LINE_SCHEMA).text(root)
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     block = F.col("_metadata.file_block_start")
     return lines.select(
@@ -50,7 +55,7 @@ def read_lines(spark: SparkSession, root: str) -> DataFrame:
         "pay_date",
         F.col("_metadata.file_path").alias("file"),
         block.alias("block"),
-        (F.shiftleft(F.shiftright(block, _STEP_BITS), _ROW_BITS) + row).alias("seq"),
+        (block.cast("decimal(20,0)") * F.lit(1 << _ROW_BITS) + row).cast("decimal(38,0)").alias("seq"),
         # A byte-order mark or a carriage return is not part of the text.
         F.regexp_replace("value", "^﻿|\r$", "").alias("value"),
     )
@@ -68,7 +73,7 @@ def detect_systems(lines: DataFrame, systems: Sequence[SourceSystem]) -> DataFra
     """(file, system, header_seq, header) per file; system is NULL where nothing matches."""
     depth = max(s.header_row for s in systems) + 1
     w = Window.partitionBy("file").orderBy("seq")
-    heads = lines.where("block = 0").withColumn("line", F.row_number().over(w))
+    heads = lines.where(F.col("block") < HEAD_BYTES).withColumn("line", F.row_number().over(w))
     # A plain bound on the row number lets every task drop later lines before the shuffle.
     heads = heads.where(F.col("line") <= depth).withColumns(
         {"row": F.col("line") - 1, "header": _header_cells("value")}
@@ -92,9 +97,13 @@ def detect_systems(lines: DataFrame, systems: Sequence[SourceSystem]) -> DataFra
 
 def read_exports(spark: SparkSession, root: str, systems: Sequence[SourceSystem]) -> Intake:
     """All columns as text, plus client_id, pay_date, file and seq."""
+    return parse_exports(read_lines(spark, root), systems)
+
+
+def parse_exports(lines: DataFrame, systems: Sequence[SourceSystem]) -> Intake:
+    """As ``read_exports``, from lines as ``read_lines`` gives them."""
     if not systems:
         raise ValueError("no source systems configured")
-    lines = read_lines(spark, root)
     found = detect_systems(lines, systems)
     known = found.where("system is not null")
     # Distinct header names per system: as many as the exports have columns.
@@ -103,14 +112,13 @@ def read_exports(spark: SparkSession, root: str, systems: Sequence[SourceSystem]
         F.max("n").alias("width"), F.collect_set("name").alias("names")
     )
     shapes = {r["system"]: (r["width"], r["names"]) for r in layout.collect()}
-    side = F.broadcast(known) if len(lines.inputFiles()) <= BROADCAST_FILES else known
     frames = {}
     for s in systems:
         if s.name not in shapes:
             continue
         width, header_names = shapes[s.name]
         rows = lines.where(F.trim("value") != "").join(
-            side.where(F.col("system") == s.name), "file"
+            known.where(F.col("system") == s.name), "file"
         )
         rows = rows.where(F.col("seq") > F.col("header_seq"))
         cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))))
@@ -135,10 +143,15 @@ def _recognised(intake: Intake, code: str, on_unrecognized: str) -> None:
             raise UnrecognizedSystem(code, files)
 
 
-def _union(frames: list[DataFrame]) -> DataFrame | None:
+def normalized(
+    intake: Intake, systems: Sequence[SourceSystem], one: Callable[[DataFrame, SourceSystem], DataFrame]
+) -> DataFrame | None:
+    """The rows of all recognised systems in the standard schema; None if there are none."""
     out = None
-    for f in frames:
-        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
+    for s in systems:
+        if s.name in intake.frames:
+            df = one(intake.frames[s.name], s)
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 
@@ -150,8 +163,7 @@ def read_punches(
 ) -> tuple[DataFrame | None, Intake]:
     intake = read_exports(spark, root, systems)
     _recognised(intake, fv.PUNCH_SYSTEM_UNRECOGNIZED, on_unrecognized)
-    parts = [normalize_punches(intake.frames[s.name], s) for s in systems if s.name in intake.frames]
-    return _union(parts), intake
+    return normalized(intake, systems, normalize_punches), intake
 
 
 def read_register(
@@ -162,8 +174,7 @@ def read_register(
 ) -> tuple[DataFrame | None, Intake]:
     intake = read_exports(spark, root, systems)
     _recognised(intake, fv.REGISTER_SYSTEM_UNRECOGNIZED, on_unrecognized)
-    parts = [normalize_register(intake.frames[s.name], s) for s in systems if s.name in intake.frames]
-    return _union(parts), intake
+    return normalized(intake, systems, normalize_register), intake
 
 
 def read_waivers(spark: SparkSession, root: str) -> DataFrame | None:

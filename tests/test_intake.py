@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 from helpers import PAY_DATE, punches, rules
 
-from shiftledger.operators.lookups import DuplicateKeys
+from shiftledger.operators.lookups import DuplicateKeys, waivers_for_runs
+from shiftledger.operators.normalize import prepare_waivers
 from shiftledger.operators.validate import (
     IntakeError,
     check_pay_dates,
@@ -94,6 +95,44 @@ def test_line_order_survives_splitting(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("split, opening", [("700", "4194304"), ("20k", "4194304"), ("1m", "1")])
+def test_tiny_splits_lose_no_line(spark, tmp_path, split, opening):
+    rows = [f"AAA{n:07d},e,2024-01-08 08:00:00,2024-01-08 09:00:00,ok,," for n in range(600)]
+    write(tmp_path, "c1", PAY_DATE, "time.csv", time_file(rows))
+    write(tmp_path, "c2", PAY_DATE, "short.csv", time_file(rows[:3]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", opening)
+    try:
+        df, _ = read_punches(spark, str(tmp_path))
+        got = df.orderBy("client_id", "seq").select("client_id", "id", "seq").collect()
+        wanted = [("c1", f"AAA{n:07d}") for n in range(600)] + [("c2", f"AAA{n:07d}") for n in range(3)]
+        assert [(r["client_id"], r["id"]) for r in got] == wanted
+        assert len({(r["client_id"], r["seq"]) for r in got}) == 603
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_waivers_hold_for_their_pay_date(spark):
+    schema = "client_id string, pay_date date, file string, seq long, ID string, Check string"
+    filed = [
+        ("demo", PRIOR, "a", 1, "1", "x"),
+        ("demo", PAY_DATE, "b", 2, "1", "x"),
+        ("demo", PAY_DATE, "a", 9, "1", ""),
+    ]
+    runs = spark.createDataFrame([("demo", d) for d in (PRIOR, PAY_DATE)], "client_id string, pay_date date")
+    df = waivers_for_runs(prepare_waivers(spark.createDataFrame(filed, schema)), runs)
+    assert {r["pay_date"]: r["has_waiver"] for r in df.collect()} == {PRIOR: True, PAY_DATE: False}
+    whole = prepare_waivers(spark.createDataFrame(filed[:1], schema).drop("pay_date", "file"))
+    assert {r["pay_date"]: r["has_waiver"] for r in waivers_for_runs(whole, runs).collect()} == {PRIOR: True, PAY_DATE: True}
+
+
+def test_daily_rows_store_the_trimmed_location(spark):
+    rows = [("1", " CCC ", "08 08:00", "08 12:00")]
+    df = daily_facts(punches(spark, rows), rules(spark), register_for(spark, ["1"]))
+    assert [r["location"] for r in df.collect()] == ["CCC"]
+
+
 def test_payroll_export(spark, tmp_path):
     rows = ["AAA,1,Doe,2024-01-26,40,0,0,800,0", "AAA,1234567,Roe,bad,10,,0,200,0"]
     write(tmp_path, "c1", PAY_DATE, "pay.csv", [f"t{i}" for i in range(5)] + [ADP_HEADER] + rows)
