@@ -324,6 +324,31 @@ OTHER = {
       case when c_custkey % 3 <> 0 then (c_custkey % 7)::double end as ot, 'AAA' as location from customer""",
     "intake_waivers": """select cast(c_custkey // 2 as varchar) as id, arg_min(c_custkey % 3 = 0, c_custkey) as has_waiver
       from customer group by c_custkey // 2""",
+    "intake_rejected": """select c_custkey + 1 as line, case when c_custkey % 7 = 2 then 'open quote'
+        when c_custkey % 7 = 3 then 'surplus cells' else 'kept' end as fate from customer""",
+    "rejected_periods": """select distinct case when seq % 4 = 2 then 'other' else 'demo' end as client_id,
+        case seq % 4 when 1 then '2024-01-25' when 3 then '2024-01-12' else '2024-01-26' end as pay_date,
+        case when seq % 4 = 0 then 'STRAGGLER_WARNING' else 'HARD_ERROR' end as error_type from punches""",
+    "save_punches": f"""select id as "ID", {iso('in_punch')} as "In Punch", {iso('out_punch')} as "Out Punch", employee as "Employee",
+      shift_no::bigint as "Shift Number", is_break as "Is Break?", '2024-01-26' as pay_date from facts""",
+    "save_daily": """select id as "ID", location as "Location", cast(workday as varchar) as "Attributed_Workday",
+      hours_worked as "Hours_Worked", regular_hours as "Regular_Hrs", ot_hours as "OT_Hrs", dt_hours as "DT_Hrs",
+      '2024-01-26' as pay_date from audited""",
+    "delete_period": f"""select id as "ID", {iso('in_punch')} as "In Punch", '2024-01-26' as pay_date from punches
+      where cast(in_punch as date) <= date '2024-01-20'""",
+    "raw_copy": f"""select {emp('c_custkey')} as id, c_name as name, {loc('c_custkey')} as location,
+      coalesce((select sum(l_quantity) from orders join lineitem on l_orderkey = o_orderkey
+        where o_custkey = c_custkey and l_returnflag = 'N'), 0)::double as hours from customer""",
+    "stored_report": REPORTS["overtime_checks_variances"],
+    "run_metadata": """select '2024-01-26' as pay_date, '2024-01-07' as first_date, '2024-01-20' as last_date,
+      (select count(*) from punches) as ta_rows, (select count(*) from customer) as wfn_rows, 0::bigint as waiver_rows""",
+    "rules_documents": """select c_custkey as id, case when c_custkey % 2 = 0 then 30 + c_nationkey else 60 end::double as gap,
+      case when c_nationkey % 2 = 1 then 18.5 else 17.25 end::double as wage, (8 + c_nationkey % 3)::double as ot_day,
+      14 as length from customer""",
+    "skipped_checks": """select id, variance, 0 as computed,
+      'non_active_check: Missing Hire Date; sick_credit_variances: Missing Sick Pay Hours' as skipped from due_ot""",
+    "absent_lookup": "select id, seq, paid_break as paid, null::double as absent from facts",
+    "report_top_rows": REPORTS["short_shift"] + " limit 200",
     "run_counts": """select 'ta_rows' as name, count(*) as "rows" from punches union all
       select 'wfn_rows', count(*) from customer union all select 'waiver_rows', count(*) from waivers union all
       select 'anomalies_rows', count(*) from summary""",

@@ -134,34 +134,38 @@ REPORT_ROWS = 200
 PUNCH_QUERY_ROWS = 300
 
 # Punch columns that are stored, by group.
-STORED_PUNCH_COLUMNS = {
-    "Base": ["ID", "Employee", "In Punch", "Out Punch"],
-    "Metadata": ["Last Updated", "Pay Date"],
-    "Employee": ["Waiver on File?", "Location", "Status", "Status Date"],
-    "Punch Info": ["Punch Length (hrs)", "Break Time (min)", "Is Break?", "Is New Punch?"],
-    "Violation Flags": [
-        "Short Break",
-        "Did Not Break",
-        "12hr Credit Due",
-        "Split Shift Due ($)",
-        "RTP_Warning",
-    ],
-    "Shift Info": [
-        "New Shift?",
-        "Shift Number",
-        "Hours Worked Shift",
-        "Shift Start",
-        "First Punch of Shift?",
-        "Punch Number in Shift",
-    ],
-    "12 hour Calcs": [
-        "Over Twelve",
-        "Break Count",
-        "Break Order",
-        "2nd Break Start",
-        "Hours to 2nd Break",
-    ],
-}
+STORED_PUNCH_COLUMNS = [
+    "ID",
+    "Employee",
+    "In Punch",
+    "Out Punch",
+    "Last Updated",
+    "Pay Date",
+    "Waiver on File?",
+    "Location",
+    "Status",
+    "Status Date",
+    "Punch Length (hrs)",
+    "Break Time (min)",
+    "Is Break?",
+    "Is New Punch?",
+    "Short Break",
+    "Did Not Break",
+    "12hr Credit Due",
+    "Split Shift Due ($)",
+    "RTP_Warning",
+    "New Shift?",
+    "Shift Number",
+    "Hours Worked Shift",
+    "Shift Start",
+    "First Punch of Shift?",
+    "Punch Number in Shift",
+    "Over Twelve",
+    "Break Count",
+    "Break Order",
+    "2nd Break Start",
+    "Hours to 2nd Break",
+]
 
 # Report name of each internal punch column.
 PUNCH_LABELS = {

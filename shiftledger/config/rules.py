@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from shiftledger.config import fixed_values as fv
 from shiftledger.functions.timeline import local_frame
 
-BROADCAST_ROWS = 200_000
-
 _TYPES = {
     "pay_period_length": T.IntegerType(),
     "days_bet_payroll_end_and_pay_date": T.IntegerType(),
@@ -71,7 +69,6 @@ class Rules:
     globals: DataFrame
     overrides: DataFrame
     consecutive_limits: tuple[int, ...] = ()
-    small: bool = False
 
     @staticmethod
     def from_settings(spark: SparkSession, clients: Mapping[str, Mapping]) -> "Rules":
@@ -96,7 +93,6 @@ class Rules:
             local_frame(spark, glob, GLOBAL_SCHEMA),
             local_frame(spark, over, OVERRIDE_SCHEMA),
             tuple(sorted(limits)),
-            len(glob) + len(over) <= BROADCAST_ROWS,
         )
 
     @staticmethod
@@ -118,32 +114,19 @@ class Rules:
         over = docs.select("client_id", F.explode("locations").alias("location", "own")).select(
             "client_id", "location", "own.*"
         )
-        size = over.agg(
-            F.count(F.lit(1)), F.collect_set("number_of_consec_days_before_ot")
-        ).first()
-        top = glob.agg(
-            F.count(F.lit(1)),
-            F.collect_set("number_of_consec_days_before_ot"),
-            F.collect_list(
-                F.when(
-                    ~F.array_contains(F.array(*[F.col(n).isNull() for n in fv.REQUIRED_RULES]), True),
-                    None,
-                ).otherwise(F.col("client_id"))
-            ),
-        ).first()
-        if top[2]:
-            raise ValueError(f"clients without all required global rules: {sorted(top[2])[:5]}")
-        limits = tuple(sorted(set(size[1]) | set(top[1])))
-        return Rules(glob, over, limits, size[0] + top[0] <= BROADCAST_ROWS)
-
-    def _side(self, df: DataFrame) -> DataFrame:
-        """Broadcast while the counted rows allow it; beyond that Spark picks a shuffled join."""
-        return F.broadcast(df) if self.small else df
+        unruled = " or ".join(f"{n} is null" for n in fv.REQUIRED_RULES)
+        shown = [r["client_id"] for r in glob.where(unruled).select("client_id").limit(5).collect()]
+        if shown:
+            raise ValueError(f"clients without all required global rules: {sorted(shown)}")
+        # Distinct day counts: a handful, whatever the number of clients.
+        name = "number_of_consec_days_before_ot"
+        used = glob.select(name).union(over.select(name)).where(F.col(name).isNotNull()).distinct()
+        return Rules(glob, over, tuple(sorted(r[0] for r in used.collect())))
 
     def with_globals(self, df: DataFrame, **cols: str) -> DataFrame:
         """Add name=rule columns from the client's global settings."""
         side = self.globals.select("client_id", *[F.col(r).alias(n) for n, r in cols.items()])
-        return df.join(self._side(side), "client_id", "left")
+        return df.join(side, "client_id", "left")
 
     def resolve(
         self,
@@ -174,9 +157,7 @@ class Rules:
             *[F.col(r).alias(n) for n, r in client_wide.items()],
         )
         df = df.withColumn("__place", place)
-        df = df.join(self._side(own), ["client_id", "__place"], "left").join(
-            self._side(glob), "client_id", "left"
-        )
+        df = df.join(own, ["client_id", "__place"], "left").join(glob, "client_id", "left")
         as_written = F.col(location) == F.col("__place")
 
         def value(name: str) -> Column:

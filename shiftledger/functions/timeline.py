@@ -439,11 +439,14 @@ def over_lanes(
     profile: KeyProfile | None = None,
     prepare: Callable[[DataFrame], DataFrame] = lambda d: d,
     cluster_first: bool = False,
+    finish: Callable[[DataFrame, DataFrame | None], DataFrame] = lambda d, hot: d,
 ) -> DataFrame:
     """Run ``steps`` per group: windows for ordinary keys, chunks for hot keys.
 
     ``prepare`` runs before the timeline is built (for example a roll-up). With ``cluster_first``
     ordinary rows are hashed by key before it, so the roll-up and all windows share one exchange.
+    ``finish`` is applied to the result of each lane, with the frame of hot keys in the hot one: lookups by
+    key belong there, since after the union one key would be one task again.
     Rows without a full key are left to the caller.
     """
     if profile is None:
@@ -453,8 +456,9 @@ def over_lanes(
         usual = is_hot(usual, profile, "left_anti")
     if cluster_first:
         usual = usual.repartition(*keys)
-    out = steps(WindowTimeline(prepare(usual), keys, order)).result()
+    out = finish(steps(WindowTimeline(prepare(usual), keys, order)).result(), None)
     if profile.hot:
         crowded = prepare(is_hot(df, profile, "left_semi"))
-        out = out.unionByName(steps(ChunkedTimeline(crowded, keys, order)).result())
+        done = steps(ChunkedTimeline(crowded, keys, order)).result()
+        out = out.unionByName(finish(done, profile.frame(df.sparkSession)))
     return out

@@ -12,8 +12,8 @@ _COUNTED = ["short_break", "did_not_break", "first_meal_break", "over_twelve"]
 def break_credit_summary(facts: DataFrame) -> DataFrame:
     """Employees with any credit due or paid. An unknown paid value keeps the employee.
 
-    Where the facts are already hashed by employee, partial and final aggregate run in one stage, so a
-    crowded ID is summed in one task; its rows need no further shuffle.
+    Ordinary rows are already hashed by employee. Crowded employees come in chunks: each is summed where
+    it lies, and only one partial row per chunk is shuffled.
     """
     order = F.struct("in_punch", "out_punch", "seq")
     known = facts.where(F.col("id").isNotNull())

@@ -51,11 +51,25 @@ def add_column(
     return home.join(side, home[home_key] == F.col("__key"), "left").drop("__key")
 
 
-def lookup_register(df: DataFrame, register: DataFrame | None, cols: Mapping[str, str]) -> DataFrame:
+def _cut_to(side: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of hot keys, broadcast: at most one per hot key, of which there are at most rows/limit.
+
+    The punches of a hot key then stay in their chunks. ``side`` is unique by ``keys``.
+    """
+    return F.broadcast(side.join(F.broadcast(hot.select(*keys).distinct()), keys, "left_semi"))
+
+
+def lookup_register(
+    df: DataFrame,
+    register: DataFrame | None,
+    cols: Mapping[str, str],
+    hot: DataFrame | None = None,
+) -> DataFrame:
     """Bring several register columns in one join on employee, client and pay date.
 
     No broadcast hint: the register grows with the payroll. Both sides hash on the same key, so
-    rows that were windowed by employee are not shuffled again.
+    rows that were windowed by employee are not shuffled again. ``hot`` are the keys of ``df`` where
+    it holds crowded keys only.
     """
     kinds = {"Hire Date": "timestamp_ntz"}
     present = {n: c for n, c in cols.items() if register is not None and c in register.columns}
@@ -67,6 +81,8 @@ def lookup_register(df: DataFrame, register: DataFrame | None, cols: Mapping[str
             "pay_date",
             *[F.col(f"`{c}`").alias(n) for n, c in present.items()],
         )
+        if hot is not None:
+            side = _cut_to(side, hot, _REGISTER_KEYS)
         df = df.join(side, _REGISTER_KEYS, "left")
     return df.withColumns(absent) if absent else df
 
@@ -81,12 +97,17 @@ def waivers_for_runs(waivers: DataFrame, runs: DataFrame) -> DataFrame:
     return waivers.join(runs.select("client_id", "pay_date").distinct(), keys)
 
 
-def lookup_waivers(df: DataFrame, waivers: DataFrame | None) -> DataFrame:
-    """``has_waiver`` per punch; false where nothing is on file."""
+def lookup_waivers(
+    df: DataFrame, waivers: DataFrame | None, hot: DataFrame | None = None
+) -> DataFrame:
+    """``has_waiver`` per punch; false where nothing is on file. ``hot`` as in ``lookup_register``."""
     if waivers is None:
         return df.withColumn("has_waiver", F.lit(False))
     keys = [k for k in _REGISTER_KEYS if k in waivers.columns]
-    df = df.join(waivers.select(*keys, "has_waiver"), keys, "left")
+    side = waivers.select(*keys, "has_waiver")
+    if hot is not None:
+        side = _cut_to(side, hot, keys)
+    df = df.join(side, keys, "left")
     return df.withColumn("has_waiver", F.coalesce("has_waiver", F.lit(False)))
 
 

@@ -7,6 +7,8 @@ plus at most one sub-group: one exchange serves all of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from shiftledger.config.rules import Rules
@@ -145,14 +147,19 @@ _SCRATCH = [
 ]
 
 
-def punch_windows(punches: DataFrame, rules: Rules, profile: KeyProfile | None = None) -> DataFrame:
-    """All window-derived punch columns, before any payroll or waiver lookup."""
+def punch_windows(
+    punches: DataFrame,
+    rules: Rules,
+    profile: KeyProfile | None = None,
+    finish: Callable[[DataFrame, DataFrame | None], DataFrame] = lambda d, hot: d,
+) -> DataFrame:
+    """All window-derived punch columns, before any payroll or waiver lookup but ``finish``."""
 
     def steps(t: Timeline) -> Timeline:
         t = shifts(neighbour_punches(t), rules)
         return twelve_hour_credit(second_break(shift_totals(t)))
 
-    return over_lanes(punches, KEYS, ORDER, steps, profile, prepare=punch_length)
+    return over_lanes(punches, KEYS, ORDER, steps, profile, prepare=punch_length, finish=finish)
 
 
 def split_shift_dollars(df: DataFrame, rules: Rules) -> DataFrame:
@@ -190,18 +197,18 @@ def punch_facts(
 ) -> DataFrame:
     """Every punch with its derived columns.
 
-    Lookups follow the windows: the rows are already hashed and sorted by employee there.
+    Lookups follow the windows in each lane: ordinary rows are already hashed and sorted by employee
+    there, crowded employees stay in their chunks.
     """
-    df = punch_windows(punches, rules, profile)
-    df = lookup_register(
-        df,
-        register,
-        {
-            "paid_break_hours": "Break Credit Hours",
-            "hire_date": "Hire Date",
-            "rate_paid": "Regular Rate Paid",
-        },
-    )
-    df = lookup_waivers(df, waivers)
+    cols = {
+        "paid_break_hours": "Break Credit Hours",
+        "hire_date": "Hire Date",
+        "rate_paid": "Regular Rate Paid",
+    }
+
+    def looked_up(df: DataFrame, hot: DataFrame | None) -> DataFrame:
+        return lookup_waivers(lookup_register(df, register, cols, hot), waivers, hot)
+
+    df = punch_windows(punches, rules, profile, looked_up)
     df = split_shift_dollars(df, rules)
     return punch_flags(df).drop(*_SCRATCH)

@@ -69,20 +69,49 @@ def audit(
     )
 
 
+def rejected_periods(
+    punches: DataFrame, register: DataFrame, rules: Rules, ignore_warnings: bool = False
+) -> DataFrame:
+    """Pay periods that cannot be audited: (client_id, pay_date, error_type, message).
+
+    A period needs punches and a register, punches of its own dates and one pay date on file.
+    """
+    checks = check_pay_dates(punches, rules, ignore_warnings).where(F.col("error_type") != NONE)
+    checks = checks.select(*TENANT, "error_type", "message")
+    on_file = F.transform("samples", lambda x: F.concat_ws(" ", x["IDX"], x["on_file"]))
+    wrong = register_date_mismatches(register).select(
+        *TENANT,
+        F.lit(HARD_ERROR).alias("error_type"),
+        F.concat(F.lit("register pay dates differ: "), F.array_join(on_file, ", ")).alias("message"),
+    )
+    timed, paid = punches.select(*TENANT).distinct(), register.select(*TENANT).distinct()
+
+    def alone(these: DataFrame, others: DataFrame, lacks: str) -> DataFrame:
+        return these.join(others, TENANT, "left_anti").select(
+            *TENANT, F.lit(HARD_ERROR).alias("error_type"), F.lit(lacks).alias("message")
+        )
+
+    bad = wrong.union(checks).union(alone(paid, timed, "no punches for this register"))
+    bad = bad.union(alone(timed, paid, "no register for these punches"))
+    # One row a period, the gravest finding; the messages in a fixed order.
+    return bad.groupBy(*TENANT).agg(
+        F.min("error_type").alias("error_type"),
+        F.array_join(F.sort_array(F.collect_set("message")), "; ").alias("message"),
+    )
+
+
 def validate(
     punches: DataFrame, register: DataFrame, rules: Rules, ignore_warnings: bool = False
 ) -> None:
     """Stop before any audit work if a file belongs to another pay period."""
-    wrong = register_date_mismatches(register).limit(5).collect()
-    if wrong:
-        raise IntakeError(f"register pay dates differ: {[r.asDict(True) for r in wrong]}")
-    checks = check_pay_dates(punches, rules, ignore_warnings).where(F.col("error_type") != NONE)
-    bad = checks.orderBy(F.col("error_type") != HARD_ERROR, *TENANT).limit(5).collect()
-    if bad:
-        text = "; ".join(
-            f"{r['client_id']} {r['pay_date']} {r['error_type']}: {r['message']}" for r in bad
+    bad = rejected_periods(punches, register, rules, ignore_warnings)
+    shown = bad.orderBy("error_type", *TENANT).limit(5).collect()
+    if shown:
+        raise IntakeError(
+            "; ".join(
+                f"{r['client_id']} {r['pay_date']} {r['error_type']}: {r['message']}" for r in shown
+            )
         )
-        raise IntakeError(text)
 
 
 def run(
@@ -93,14 +122,31 @@ def run(
     waiver_rows: DataFrame | None = None,
     ignore_warnings: bool = False,
     on_duplicate: str = "fail",
+    on_invalid: str = "fail",
 ) -> dict[str, DataFrame]:
     """Validate, audit, store facts and reports, and return the reports.
 
-    Punch and daily facts are written once; summary, reports and saves read those files.
+    Punch, register and daily facts are written once; summary, reports and saves read those files.
+    An invalid period stops the batch ("fail"), or is left out and stored with its reason in the
+    table ``rejected`` while all other periods are audited ("skip").
     """
     require_inputs(punches, register)
     spark = punches.sparkSession
-    validate(punches, register, rules, ignore_warnings)
+    used = []
+
+    def written(df: DataFrame) -> DataFrame:
+        path = store.staging()
+        used.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    rejected = None
+    if on_invalid == "skip":
+        rejected = written(rejected_periods(punches, register, rules, ignore_warnings))
+        punches = punches.join(rejected, TENANT, "left_anti").select(punches.columns)
+        register = register.join(rejected, TENANT, "left_anti").select(register.columns)
+    else:
+        validate(punches, register, rules, ignore_warnings)
     register = unique_by(register, ["IDX", *TENANT], on_duplicate)
     periods = punches.select(*TENANT).distinct()
     waivers = None
@@ -110,15 +156,9 @@ def run(
     carryover = stored_carryover(store, periods, rules)
     lazy = audit(punches, register, rules, waivers, carryover)
 
-    def written(df: DataFrame) -> tuple[DataFrame, str]:
-        path = store.staging()
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path), path
-
-    facts, facts_path = written(lazy.punches)
-    daily, daily_path = written(lazy.daily)
-    summary, summary_path = written(break_credit_summary(facts))
-    done = Audit(facts, daily, summary, lazy.register, lazy.skipped)
+    facts, daily = written(lazy.punches), written(lazy.daily)
+    summary = written(break_credit_summary(facts))
+    done = Audit(facts, daily, summary, written(lazy.register), lazy.skipped)
     store.save_punches(facts)
     store.save_daily(daily)
     store.save_raw(punches, "punches")
@@ -127,6 +167,8 @@ def run(
         store.save_raw(waiver_rows, "waivers")
     runs = [tuple(r) for r in periods.collect()]
     store.save_reports(done.reports(), runs)
+    if rejected is not None:
+        store.save_rejected(rejected, runs)
     counts = {
         "ta_rows": facts,
         "anomalies_rows": summary,
@@ -134,9 +176,7 @@ def run(
         "waiver_rows": waivers,
     }
     store.save_runs(counts, rules, lazy.skipped)
-    for path in (facts_path, daily_path, summary_path):
+    shapes = {n: json_safe(df).schema for n, df in done.reports().items()}
+    for path in used:
         files.remove(spark, path)
-    return {
-        n: spark.read.schema(json_safe(df).schema).json(store.path("reports", n))
-        for n, df in done.reports().items()
-    }
+    return {n: spark.read.schema(s).json(store.path("reports", n)) for n, s in shapes.items()}

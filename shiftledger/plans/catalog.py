@@ -6,11 +6,11 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 from functools import cached_property
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shiftledger.config import fixed_values as fv
+from shiftledger.config.rules import Rules
 from shiftledger.config.systems import ADP, BLANK, PUNCH_SYSTEMS, REGISTER_SYSTEMS, Slice
 from shiftledger.functions import predicates as p
 from shiftledger.functions.semantics import hours, rnd
@@ -19,7 +19,8 @@ from shiftledger.operators import legacy, lookups, normalize, validate, weekly
 from shiftledger.operators.anomalies import break_credit_summary
 from shiftledger.operators.daily import daily_hours, daily_overtime, day_rules, fiscal_pay_date
 from shiftledger.operators.punches import punch_facts
-from shiftledger.operators.register import register_facts
+from shiftledger.operators.register import register_facts, skipped_checks
+from shiftledger.plans.audit import rejected_periods
 from shiftledger.plans.reports import (
     REGISTER_REPORTS,
     TENANT,
@@ -30,10 +31,11 @@ from shiftledger.plans.reports import (
     register_report,
     time_card_report,
 )
+from shiftledger.sinks import files
 from shiftledger.sinks.store import AuditStore
 from shiftledger.sources import exports
 from shiftledger.sources.sample_tables import CLIENT, PAY_DATE, PRIOR_PAY_DATE, SampleTables
-from shiftledger.sources.stored import query_daily, query_punches
+from shiftledger.sources.stored import list_periods, load_results, query_daily, query_punches
 
 PERIOD_START, PERIOD_END = dt.date(2024, 1, 7), dt.date(2024, 1, 20)
 NEXT_PAY_DATE = dt.date(2024, 2, 9)
@@ -75,7 +77,7 @@ _inputs: dict = {}
 
 def inputs(spark: SparkSession, folder: str) -> Inputs:
     """Queries of one session over unchanged files share their plans."""
-    stamps = tuple(sorted((f.name, f.stat().st_mtime_ns) for f in Path(folder).glob("*.parquet")))
+    stamps = files.listing(spark, folder)
     conf = tuple(spark.conf.get(c, "") for c in (HOT_ROWS_CONF, CHUNK_ROWS_CONF))
     key = (spark.sparkContext.applicationId, id(spark), folder, stamps, conf)
     if key not in _inputs:
@@ -413,7 +415,7 @@ def _daily_query(i: Inputs) -> DataFrame:
 
 def _upsert_result(i: Inputs) -> DataFrame:
     """Two saves: later work first under this pay date, then amended under the next one."""
-    store = AuditStore(i.spark, f"{shared_folder(i.spark)}/upsert-{uuid.uuid4().hex}")
+    store = _store(i, "upsert")
     rows = i.tables.punches.where("id is not null").select(
         *TENANT,
         F.col("id").alias("ID"),
@@ -542,6 +544,156 @@ def _intake_waivers(i: Inputs) -> DataFrame:
     return normalize.prepare_waivers(rows).select("id", "has_waiver")
 
 
+def _intake_rejected(i: Inputs) -> DataFrame:
+    """Lines of a waiver list that are no records: open quotes and cells beyond the header."""
+    people = i.tables.table("customer").where("c_custkey is not null").selectExpr(
+        "0 as part", "c_custkey as row", "c_custkey"
+    )
+    line = '''concat(c_custkey, ',', if(c_custkey % 7 = 2, '"X', '"X, ""y"""'), if(c_custkey % 7 = 3, ',more', ', '))'''
+    intake = exports.parse_exports(
+        _exported(i, "waivers", ["ID,Check"], line, people), [exports.WAIVER_LIST]
+    )
+    kept = intake.frames[exports.WAIVER_LIST.name].select("seq", F.lit("kept").alias("fate"))
+    return kept.union(intake.rejected.select("seq", "reason")).select(
+        F.col("seq").cast("long").alias("line"), "fate"
+    )
+
+
+def _rejected_periods(i: Inputs) -> DataFrame:
+    """Periods of several clients: stragglers, off the cycle, unknown client, no register."""
+    which = F.pmod("seq", F.lit(4))
+    punches = i.tables.punches.where("id is not null").withColumns(
+        {
+            "client_id": F.when(which == 2, "other").otherwise(CLIENT),
+            "pay_date": F.when(which == 1, F.lit(dt.date(2024, 1, 25)))
+            .when(which == 3, F.lit(PRIOR_PAY_DATE))
+            .otherwise(F.lit(PAY_DATE)),
+        }
+    )
+    found = rejected_periods(punches, i.tables.register, i.tables.rules)
+    return found.select("client_id", "pay_date", "error_type")
+
+
+def _store(i: Inputs, name: str) -> AuditStore:
+    return AuditStore(i.spark, f"{shared_folder(i.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+
+
+def _save_punches(i: Inputs) -> DataFrame:
+    store = _store(i, "punches")
+    store.save_punches(i.facts)
+    return store.read("punches").select(
+        "ID", "In Punch", "Out Punch", "Employee", "Shift Number", "Is Break?", "pay_date"
+    )
+
+
+def _save_daily(i: Inputs) -> DataFrame:
+    store = _store(i, "daily")
+    store.save_daily(i.daily)
+    return store.read("daily").select(
+        "ID", "Location", "Attributed_Workday", "Hours_Worked", "Regular_Hrs", "OT_Hrs", "DT_Hrs", "pay_date"
+    )
+
+
+def _delete_period(i: Inputs) -> DataFrame:
+    """Punches of two periods are stored, the later period is deleted."""
+    store = _store(i, "deleted")
+    late = F.col("in_punch").cast("date") > F.lit(PERIOD_END)
+    rows = i.tables.punches.where("id is not null").select(
+        "client_id",
+        F.when(late, F.lit(NEXT_PAY_DATE)).otherwise(F.col("pay_date")).alias("pay_date"),
+        F.col("id").alias("ID"),
+        F.col("in_punch").alias("In Punch"),
+    )
+    store.replace_periods(rows, "punches", ["client_id", "ID", "In Punch"])
+    store.delete_period(CLIENT, NEXT_PAY_DATE)
+    return store.read("punches").select("ID", "In Punch", "pay_date")
+
+
+def _raw_copy(i: Inputs) -> DataFrame:
+    """The register as kept in the raw copy, read back as text."""
+    store = _store(i, "raw")
+    store.save_raw(i.tables.register.where("client_id is not null"), "register")
+    raw = i.spark.read.option("header", True).csv(store.path("raw", "register"))
+    return raw.select(
+        F.col("IDX").alias("id"),
+        F.col("Payroll Name").alias("name"),
+        F.col("Location").alias("location"),
+        F.col("Regular Hours").cast("double").alias("hours"),
+    )
+
+
+def _stored_run(i: Inputs) -> AuditStore:
+    store = _store(i, "results")
+    names = ["overtime_checks_variances"]
+    known = i.register.where("client_id is not null")
+    store.save_reports({n: register_report(n, known) for n in names}, [(CLIENT, PAY_DATE)])
+    tables = {"ta_rows": i.tables.punches, "wfn_rows": i.tables.register, "waiver_rows": None}
+    counts = {n: d if d is None else d.where("client_id is not null") for n, d in tables.items()}
+    store.save_runs(counts, i.tables.rules, {})
+    return store
+
+
+def _stored_report(i: Inputs) -> DataFrame:
+    return load_results(_stored_run(i), CLIENT, PAY_DATE)["overtime_checks_variances"]
+
+
+def _run_metadata(i: Inputs) -> DataFrame:
+    store = _stored_run(i)
+    listed = list_periods(store, CLIENT).select("pay_date", "first_date", "last_date")
+    return listed.join(store.read("runs").select("pay_date", "ta_rows", "wfn_rows", "waiver_rows"), "pay_date")
+
+
+def _rules_documents(i: Inputs) -> DataFrame:
+    """Settings documents, one per nation, written and read back, and their values for every customer."""
+    nations = i.tables.table("nation")
+    client = F.concat(F.lit("n"), F.col("n_nationkey"))
+    text = F.expr(
+        """concat('{"global": {"workweek_start": "Monday", "ot_day_max": ', 8 + n_nationkey % 3,
+        ', "ot_week_max": 40, "dt_day_max": 12, "number_of_consec_days_before_ot": 6',
+        if(n_nationkey % 2 = 1, ', "min_wage": 18.5', ''),
+        '}, "locations": {"X": {"time_gap_for_new_shift": ', 30 + n_nationkey, '}}}')"""
+    )
+    root = f"{shared_folder(i.spark).rstrip('/')}/settings-{uuid.uuid4().hex}"
+    nations.select(client.alias("client_id"), text.alias("value")).write.partitionBy("client_id").text(root)
+    anchors = nations.select(client.alias("client_id"), F.lit(PAY_DATE).alias("anchor_pay_date"))
+    rules = Rules.read(i.spark, root, anchors)
+    people = i.tables.table("customer").select(
+        F.col("c_custkey").alias("id"),
+        F.concat(F.lit("n"), F.col("c_nationkey")).alias("client_id"),
+        F.when(F.col("c_custkey") % 2 == 0, "X").otherwise("Y").alias("location"),
+    )
+    named = {"gap": "time_gap_for_new_shift", "wage": "min_wage", "ot_day": "ot_day_max", "length": "pay_period_length"}
+    return rules.resolve(people, **named).select("id", *named)
+
+
+def _skipped_checks(i: Inputs) -> DataFrame:
+    """A register without two columns: its checks that run, and the reasons of the others."""
+    partial = i.tables.register.drop("Sick Pay Hours", "Hire Date")
+    reasons = F.array_join(
+        F.sort_array(F.collect_list(F.concat_ws(": ", "check", "reason"))), "; "
+    )
+    skipped = skipped_checks(partial).agg(reasons.alias("skipped"))
+    facts = register_facts(partial, i.tables.rules)
+    gone = [c for c in ("Variance Sick", "Non-Active") if c in facts.columns]
+    rows = facts.select(F.col("IDX").alias("id"), F.col("Variance").alias("variance"), F.lit(len(gone)).alias("computed"))
+    # The one row of reasons: as many as there are checks.
+    return rows.withColumn("skipped", F.lit(skipped.first()["skipped"]))
+
+
+def _absent_lookup(i: Inputs) -> DataFrame:
+    """A lookup column that the register has, and one that it lacks."""
+    register = i.tables.register
+    df = i.tables.punches.where("id is not null").select("id", "seq")
+    df = lookups.add_column(df, register, "id", "IDX", "Break Credit Hours", "paid")
+    return lookups.add_column(df, register, "id", "IDX", "Uniform Credit Hours", "absent")
+
+
+def _report_top_rows(i: Inputs) -> DataFrame:
+    """The first 200 rows of a report per pay period: the limit is the feature."""
+    top = time_card_report("short_shift", punches=i.facts, limit=200)
+    return json_safe(top).drop(*TENANT)
+
+
 def _legacy_weekly_ot(i: Inputs) -> DataFrame:
     df = legacy.punch_overtime(i.facts, i.tables.rules, i.tables.profile)
     return df.drop(*TENANT)
@@ -633,6 +785,18 @@ def _catalog() -> dict[str, Callable[[Inputs], DataFrame]]:
             "intake_punches": _intake_punches,
             "intake_register": _intake_register,
             "intake_waivers": _intake_waivers,
+            "intake_rejected": _intake_rejected,
+            "rejected_periods": _rejected_periods,
+            "save_punches": _save_punches,
+            "save_daily": _save_daily,
+            "delete_period": _delete_period,
+            "raw_copy": _raw_copy,
+            "stored_report": _stored_report,
+            "run_metadata": _run_metadata,
+            "rules_documents": _rules_documents,
+            "skipped_checks": _skipped_checks,
+            "absent_lookup": _absent_lookup,
+            "report_top_rows": _report_top_rows,
             "legacy_weekly_ot": _legacy_weekly_ot,
             "legacy_rolling_days": _legacy_rolling_days,
             "run_counts": _run_counts,

@@ -15,6 +15,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def listing(spark: SparkSession, path: str) -> tuple:
+    """(name, modification time) of the entries of a folder."""
+    fs, p = _handle(spark, path)
+    return tuple(sorted((s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(p)))
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     fs, p = _handle(spark, path)
     return fs.exists(p) and fs.delete(p, True)

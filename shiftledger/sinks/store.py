@@ -23,7 +23,6 @@ from shiftledger.plans.reports import json_safe, labelled
 from shiftledger.sinks import files
 
 TENANT = ["client_id", "pay_date"]
-PRUNED_CLIENTS = 1000
 PUNCH_KEY = ["client_id", "ID", "In Punch"]
 DAILY_KEY = ["client_id", "ID", "Location", "Attributed_Workday"]
 
@@ -87,7 +86,7 @@ class AuditStore:
 
     def _stage(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = self.staging()
-        df.write.partitionBy(*TENANT).parquet(path)
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def _runs(self, df: DataFrame) -> list[tuple]:
@@ -97,20 +96,27 @@ class AuditStore:
     def replace_periods(self, new: DataFrame, table: str, key: Sequence[str]) -> int:
         """Wipe the pay dates of ``new`` and upsert it by ``key``. Returns the rows written."""
         staged, path = self._stage(new)
-        rows = staged.count()
+        # One pass over the staged rows: how many, and from when to when their keys reach.
+        last = staged.schema[key[-1]]
+        edges = [f(F.col(f"`{last.name}`")).cast("string") for f in (F.min, F.max)]
+        rows, low, high = staged.agg(F.count(F.lit(1)), *edges).first()
         if rows == 0:
             files.remove(self.spark, path)
             return 0
         used = [path]
         moved_to = staged
+        runs = self._runs(staged)
         old = self.read(table)
         if old is not None:
             # Only the batch's clients can share keys with it: prune to their partitions.
-            clients = sorted({client for client, _ in self._runs(staged)})
-            if len(clients) <= PRUNED_CLIENTS:
-                old = old.where(F.col("client_id").isin(clients))
+            clients = sorted({client for client, _ in runs if client is not None})
+            old = old.where(F.col("client_id").isin(clients))
+            near = old
+            if low is not None and isinstance(last.dataType, (T.DateType, T.TimestampNTZType)):
+                bounds = [F.lit(x).cast(last.dataType) for x in (low, high)]
+                near = old.where(F.col(f"`{last.name}`").between(*bounds))
             keys = staged.select(*[F.col(f"`{k}`") for k in key], F.col("pay_date").alias("__to"))
-            hits = old.select(*[F.col(f"`{k}`") for k in key], "pay_date").join(keys, list(key))
+            hits = near.select(*[F.col(f"`{k}`") for k in key], "pay_date").join(keys, list(key))
             touched = hits.where("pay_date <> __to").select(*TENANT).distinct()
             touched = touched.join(staged.select(*TENANT).distinct(), TENANT, "left_anti")
             parts = [tuple(r) for r in touched.collect()]
@@ -147,8 +153,7 @@ class AuditStore:
                 "Pay Date": F.col("pay_date").cast("timestamp_ntz"),
             }
         )
-        columns = [c for group in fv.STORED_PUNCH_COLUMNS.values() for c in group]
-        stored = stored.select(*TENANT, *[F.col(f"`{c}`") for c in columns])
+        stored = stored.select(*TENANT, *[F.col(f"`{c}`") for c in fv.STORED_PUNCH_COLUMNS])
         return self.replace_periods(stored, "punches", PUNCH_KEY)
 
     def save_daily(self, facts: DataFrame) -> int:
@@ -165,7 +170,7 @@ class AuditStore:
             removed[table] = 0 if mine is None else mine.count()
             files.remove(self.spark, self.partition(table, client_id, pay_date))
         names = [f"reports/{n}" for n in (*fv.REGISTER_REPORTS, *fv.TIME_CARD_REPORTS)]
-        for table in (*names, "runs", "raw/punches", "raw/register"):
+        for table in (*names, "runs", "rejected", "raw/punches", "raw/register"):
             files.remove(self.spark, self.partition(table, client_id, pay_date))
         return removed
 
@@ -187,6 +192,12 @@ class AuditStore:
             write("json").save(self.path("raw", "waivers_json"))
         write("csv").save(self.path("raw", kind))
 
+    def save_rejected(self, rejected: DataFrame, audited: Sequence[tuple]) -> None:
+        """Why periods were left out. A period that is audited now loses its old entry."""
+        for client, pay_date in audited:
+            files.remove(self.spark, self.partition("rejected", client, pay_date))
+        self._write_partitions(rejected, "rejected")
+
     def save_reports(self, reports: Mapping[str, DataFrame], runs: Sequence[tuple]) -> None:
         """Write every report as JSON rows. A report that is empty now must not keep old rows."""
 

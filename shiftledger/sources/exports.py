@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shiftledger.config import fixed_values as fv
 from shiftledger.config.systems import PUNCH_SYSTEMS, REGISTER_SYSTEMS, SourceSystem
@@ -34,12 +34,20 @@ class UnrecognizedSystem(ValueError):
         self.code = code
 
 
+class RejectedLines(ValueError):
+    """Lines below a recognised header that cannot be read as records."""
+
+
 @dataclass(frozen=True)
 class Intake:
-    """Rows per recognised system, and the files no system recognises."""
+    """Rows per recognised system, the files no system recognises, and the lines that do not parse.
+
+    ``rejected`` has client_id, pay_date, file, seq, value and reason; its lines are in no frame.
+    """
 
     frames: dict[str, DataFrame]
     unrecognized: DataFrame
+    rejected: DataFrame
 
 
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
@@ -69,6 +77,15 @@ def _header_cells(line):
     )
 
 
+def line_fault(line: Column, width: Column) -> Column:
+    """Why a line is no record of ``width`` cells: an open quote, or surplus cells that are not blank."""
+    plain = F.regexp_replace(F.regexp_replace(line, '""', ""), r"\\.", "")
+    plain = F.regexp_replace(plain, '(^|,)[ ]*"[^"]*"', "$1q")
+    filled = F.regexp_replace(plain, "[, ]+$", "")
+    commas = F.length(filled) - F.length(F.replace(filled, F.lit(","), F.lit("")))
+    return F.when(plain.rlike('(^|,)[ ]*"'), "open quote").when(commas >= width, "surplus cells")
+
+
 def detect_systems(lines: DataFrame, systems: Sequence[SourceSystem]) -> DataFrame:
     """(file, system, header_seq, header) per file; system is NULL where nothing matches."""
     depth = max(s.header_row for s in systems) + 1
@@ -112,15 +129,17 @@ def parse_exports(lines: DataFrame, systems: Sequence[SourceSystem]) -> Intake:
         F.max("n").alias("width"), F.collect_set("name").alias("names")
     )
     shapes = {r["system"]: (r["width"], r["names"]) for r in layout.collect()}
+    # Lines below the header of a recognised file, each with its fault, if any.
+    below = lines.where(F.trim("value") != "").join(known, "file").where("seq > header_seq")
+    below = below.withColumn("reason", line_fault(F.col("value"), F.size("header")))
+    rejected = below.where("reason is not null")
+    rejected = rejected.select("client_id", "pay_date", "file", "seq", "value", "reason")
     frames = {}
     for s in systems:
         if s.name not in shapes:
             continue
         width, header_names = shapes[s.name]
-        rows = lines.where(F.trim("value") != "").join(
-            known.where(F.col("system") == s.name), "file"
-        )
-        rows = rows.where(F.col("seq") > F.col("header_seq"))
+        rows = below.where((F.col("system") == s.name) & F.col("reason").isNull())
         cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))))
         rows = rows.withColumn("cells", cells)
         cells = F.array(*[F.col(f"cells.c{i}") for i in range(width)])
@@ -133,10 +152,15 @@ def parse_exports(lines: DataFrame, systems: Sequence[SourceSystem]) -> Intake:
         frames[s.name] = rows.select(
             "client_id", "pay_date", "file", "seq", *[cell(n) for n in sorted(header_names) if n]
         )
-    return Intake(frames, found.where("system is null").select("file"))
+    return Intake(frames, found.where("system is null").select("file"), rejected)
 
 
-def _recognised(intake: Intake, code: str, on_unrecognized: str) -> None:
+def _complete(intake: Intake, code: str, on_unrecognized: str, on_rejected: str) -> None:
+    """Raise where something would be left out, unless the caller takes it from the intake."""
+    if on_rejected == "fail":
+        bad = intake.rejected.select("file", "reason", "value").limit(5).collect()
+        if bad:
+            raise RejectedLines("; ".join(f"{r['file']}: {r['reason']} in {r['value'][:80]!r}" for r in bad))
     if on_unrecognized == "fail":
         files = [r["file"] for r in intake.unrecognized.limit(5).collect()]
         if files:
@@ -160,9 +184,10 @@ def read_punches(
     root: str,
     systems: Sequence[SourceSystem] = PUNCH_SYSTEMS,
     on_unrecognized: str = "fail",
+    on_rejected: str = "fail",
 ) -> tuple[DataFrame | None, Intake]:
     intake = read_exports(spark, root, systems)
-    _recognised(intake, fv.PUNCH_SYSTEM_UNRECOGNIZED, on_unrecognized)
+    _complete(intake, fv.PUNCH_SYSTEM_UNRECOGNIZED, on_unrecognized, on_rejected)
     return normalized(intake, systems, normalize_punches), intake
 
 
@@ -171,9 +196,10 @@ def read_register(
     root: str,
     systems: Sequence[SourceSystem] = REGISTER_SYSTEMS,
     on_unrecognized: str = "fail",
+    on_rejected: str = "fail",
 ) -> tuple[DataFrame | None, Intake]:
     intake = read_exports(spark, root, systems)
-    _recognised(intake, fv.REGISTER_SYSTEM_UNRECOGNIZED, on_unrecognized)
+    _complete(intake, fv.REGISTER_SYSTEM_UNRECOGNIZED, on_unrecognized, on_rejected)
     return normalized(intake, systems, normalize_register), intake
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from helpers import PAY_DATE, punches, rules
+from pyspark.sql import functions as F
 
 from shiftledger.operators.lookups import DuplicateKeys, waivers_for_runs
 from shiftledger.operators.normalize import prepare_waivers
@@ -17,7 +18,16 @@ from shiftledger.operators.validate import (
 from shiftledger.plans.audit import run
 from shiftledger.sinks.store import AuditStore
 from shiftledger.config.systems import PUNCH_SYSTEMS
-from shiftledger.sources.exports import UnrecognizedSystem, read_exports, read_lines, read_punches, read_register, read_waivers
+from shiftledger.sources.exports import (
+    RejectedLines,
+    UnrecognizedSystem,
+    line_fault,
+    read_exports,
+    read_lines,
+    read_punches,
+    read_register,
+    read_waivers,
+)
 from shiftledger.operators.weekly import daily_facts
 from shiftledger.sources.stored import list_periods, load_results, query_daily, query_punches, stored_carryover
 from shiftledger.sinks.store import NotFound
@@ -284,3 +294,62 @@ def test_wrong_files_stop_the_run(spark, tmp_path):
     with pytest.raises(IntakeError, match="pay dates differ"):
         wrong = register_for(spark, ["1"]).selectExpr("* except (`Pay Date`)", "timestamp_ntz'2024-01-12' `Pay Date`")
         run(store, df, wrong, rules(spark), ignore_warnings=True)
+
+
+def test_one_bad_period_leaves_the_others(spark, tmp_path):
+    store = AuditStore(spark, str(tmp_path))
+    good = punches(spark, [("1", "A", "08 08:00", "08 12:00")])
+    late = punches(spark, [("1", "A", "28 08:00", "28 12:00")], pay_date=PRIOR)
+    unknown = punches(spark, [("1", "A", "08 08:00", "08 12:00")], client="new")
+    pays = register_for(spark, ["1"]).unionByName(register_for(spark, ["1"], PRIOR))
+    batch = good.unionByName(late).unionByName(unknown)
+    with pytest.raises(IntakeError):
+        run(store, batch, pays, rules(spark))
+    reports = run(store, batch, pays, rules(spark), on_invalid="skip")
+    assert store.read("punches").count() == 1 and store.read("daily").count() == 1
+    bad = {(r["client_id"], r["pay_date"]): r for r in store.read("rejected").collect()}
+    assert set(bad) == {("demo", PRIOR), ("new", PAY_DATE)}
+    assert {r["error_type"] for r in bad.values()} == {"HARD_ERROR"}
+    assert "no register" in bad["new", PAY_DATE]["message"]
+    assert [r["pay_date"] for r in reports["ot_vs_wfn"].select("pay_date").distinct().collect()] in ([], [str(PAY_DATE)])
+    # Once the period is right it is audited and its entry goes.
+    fixed = punches(spark, [("1", "A", "03 08:00", "03 12:00")], pay_date=PRIOR)
+    run(store, fixed, register_for(spark, ["1"], PRIOR), rules(spark), on_invalid="skip")
+    assert store.read("punches").count() == 2
+    assert [r["client_id"] for r in store.read("rejected").collect()] == ["new"]
+
+
+@pytest.mark.parametrize(
+    "line, fault",
+    [
+        ("1,2", None),
+        ("1,2,,  ,", None),
+        ('"1,5",2', None),
+        ('1,"say ""hi"", then go"', None),
+        ('"",""', None),
+        ('5" pipe,2', None),
+        ('1,"2', "open quote"),
+        ('"1,2', "open quote"),
+        ("1,2,3", "surplus cells"),
+        ('1,2,"3"', "surplus cells"),
+        ("1", None),
+    ],
+)
+def test_line_faults(spark, line, fault):
+    df = spark.createDataFrame([(line,)], "value string")
+    assert df.select(line_fault(F.col("value"), F.lit(2))).first()[0] == fault
+
+
+def test_rejected_lines_stop_or_are_kept_apart(spark, tmp_path):
+    folder = tmp_path / "client_id=a" / "pay_date=2024-01-26"
+    folder.mkdir(parents=True)
+    titles = "title\n" * 7
+    row = "1,x,2024-01-08 08:00:00,2024-01-08 12:00:00,ok,,\n"
+    broken = '2,"y,2024-01-08 08:00:00,2024-01-08 12:00:00,ok,,\n'
+    head = "ID,Employee,In Punch,Out Punch,Status,Status Date,In Punch Comment\n"
+    (folder / "t.csv").write_text(titles + head + row + broken)
+    with pytest.raises(RejectedLines, match="open quote"):
+        read_punches(spark, str(tmp_path))
+    df, intake = read_punches(spark, str(tmp_path), on_rejected="keep")
+    assert [r["id"] for r in df.collect()] == ["1"]
+    assert [r["reason"] for r in intake.rejected.collect()] == ["open quote"]

@@ -58,6 +58,20 @@ def test_unused_windows_are_pruned(spark, stored):
     assert "row_number" not in plan(df)
 
 
+def test_crowded_employees_stay_in_chunks_through_lookups_and_summary(spark, crowded):
+    """With broadcasts off by size, each lookup shuffles punches by employee in the ordinary lane only."""
+    i = inputs(spark, SMALL)
+    assert i.tables.profile.hot
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(i.facts.select("id", "paid_break_hours", "has_waiver"))
+        # Two lookups in two lanes: sorted merges for ordinary keys, broadcasts for crowded ones.
+        assert len(re.findall(r"BroadcastHashJoin \[id#[^\]]*client_id#", text)) >= 2
+        assert "partial_sum" in plan(i.summary)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_reports_limit_before_the_shuffle(spark):
     i = inputs(spark, SMALL)
     text = plan(time_card_report("short_shift", punches=i.facts, limit=200))
@@ -73,13 +87,11 @@ def test_punch_query_prunes_and_pushes(spark, stored):
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(id,AAA0000003\)[^\]]*in_punch", text)
 
 
-def test_large_rule_tables_are_not_broadcast_by_hint(spark, stored):
-    small = rules(spark)
-    large = Rules(small.globals, small.overrides, small.consecutive_limits, small=False)
+def test_rule_tables_are_not_broadcast_by_hint(spark, stored):
+    assert "BroadcastExchange" in plan(rules(spark).resolve(stored, gap="time_gap_for_new_shift"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "BroadcastExchange" in plan(small.resolve(stored, gap="time_gap_for_new_shift"))
-        assert "BroadcastExchange" not in plan(large.resolve(stored, gap="time_gap_for_new_shift"))
+        assert "BroadcastExchange" not in plan(rules(spark).resolve(stored, gap="time_gap_for_new_shift"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -100,7 +112,7 @@ def test_rules_from_documents(spark, tmp_path):
     assert got == {"X": (19.5, True, 14), " X ": default, "Y": default, None: default}
     trimmed = r.resolve(df, trim=True, wage="min_wage", exact={"own": "min_wage"}).where("location = ' X '").first()
     assert (trimmed["wage"], trimmed["own"]) == (19.5, 17.25)
-    assert r.consecutive_limits == (6,) and r.small
+    assert r.consecutive_limits == (6,)
     with pytest.raises(ValueError, match="missing global rules"):
         Rules.from_settings(spark, {"acme": {"global": {"ot_day_max": 8}}})
 

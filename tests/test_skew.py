@@ -48,6 +48,11 @@ def skewed(tmp_path_factory):
         "legacy_rolling_days",
         "report_ot_vs_wfn",
         "duplicate_punches",
+        "waiver_lookup",
+        "register_lookup",
+        "split_shift_dollars",
+        "report_break_credit_summary",
+        "report_did_not_break_meal_waiver_check",
     ],
 )
 def test_hot_user(spark, crowded, skewed, name):
