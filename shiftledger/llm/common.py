@@ -62,6 +62,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sliding(x: np.ndarray, width: int, least) -> np.ndarray:
+    """Least or greatest of every ``width`` neighbours, by doubling."""
+    n, y = 1, x
+    while n * 2 <= width:
+        y = least(y[:-n], y[n:])
+        n *= 2
+    return least(y[: -(width - n)], y[width - n :]) if width > n else y
+
+
 class Rolling:
     """64-bit polynomial hashes of any slices of a byte array, from one running sum.
 

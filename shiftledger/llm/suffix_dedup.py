@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from shiftledger.llm.common import Rolling, mix, stored, tasks
+from shiftledger.llm.common import Rolling, mix, sliding, stored, tasks
 from shiftledger.llm.dealing import (
     BUCKETS_PER_TASK,
     bucket_of,
@@ -52,15 +52,6 @@ CROWDED = 50_000
 _MARK = [np.int64, np.int32, np.int32]  # row key, anchor, offsets as bits or WHOLE
 
 
-def _sliding(x: np.ndarray, width: int, least) -> np.ndarray:
-    """Least or greatest of every ``width`` neighbours, by doubling."""
-    n, y = 1, x
-    while n * 2 <= width:
-        y = least(y[:-n], y[n:])
-        n *= 2
-    return least(y[: -(width - n)], y[width - n :]) if width > n else y
-
-
 def anchors(data: np.ndarray):
     """Places of the anchors, hashes of their tokens and of their contexts."""
     n = len(data)
@@ -68,10 +59,10 @@ def anchors(data: np.ndarray):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     rolling = Rolling(data)
     token = rolling.all_of_length(TOKEN)
-    least = _sliding(token, BEFORE + 1, np.minimum)
+    least = sliding(token, BEFORE + 1, np.minimum)
     pad = np.zeros(BEFORE, np.uint64)
     # The greatest minimum of the strings that hold a token is the token's hash iff it is an anchor.
-    top = _sliding(np.concatenate([pad, least, pad]), BEFORE + 1, np.maximum)
+    top = sliding(np.concatenate([pad, least, pad]), BEFORE + 1, np.maximum)
     at = np.flatnonzero(top == token)
     low, high = np.maximum(at - BEFORE, 0), np.minimum(at + LENGTH, n)
     shape = (at - low).astype(np.uint64) * np.uint64(64) + (high - at).astype(np.uint64)

@@ -224,6 +224,52 @@ def test_sentence_spans(spark, odd, empty):
     assert sentence_spans.span_table(empty).count() == 0
 
 
+def _words(name, n):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def _kept_of_second(spark, passage, head="Start here. ", tail=" End here."):
+    rows = [(1, f"Alpha one. {passage} Omega one."), (2, f"{head}{passage}{tail}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sentence_spans.drop_repeated_spans(docs).collect()}
+    assert got[1]["text"] == rows[0][1] and got[1]["removed_bytes"] == 0
+    assert got[2]["removed_bytes"] == len(rows[1][1].encode()) - len(got[2]["text"].encode())
+    return got[2]["text"]
+
+
+@pytest.mark.parametrize("lengths", [(52,), (26, 26), (18, 17, 17), (10, 3, 3, 2), (2, 20, 2)])
+def test_repeats_of_few_sentences_go_to_the_last_word(spark, lengths):
+    passage = " ".join(_words(f"s{i}w", n) + "." for i, n in enumerate(lengths))
+    assert _kept_of_second(spark, passage) == "Start here. End here."
+
+
+def test_repeat_that_starts_and_ends_within_sentences(spark):
+    for passage in (_words("a", 27) + ". " + _words("b", 27), _words("c", 52)):
+        words = passage.split()
+        left = _kept_of_second(spark, passage, "Some other start ", " and other end.").split()
+        assert left[:3] == ["Some", "other", "start"] and left[-3:] == ["and", "other", "end."]
+        assert len(left) - 6 < 2 * sentence_spans.EVERY
+        assert set(left[3:-3]) <= {*words[: sentence_spans.EVERY], *words[-sentence_spans.EVERY :]}
+
+
+def test_short_repeats_stay(spark):
+    passage = _words("a", 14) + "."
+    assert _kept_of_second(spark, passage) == f"Start here. {passage} End here."
+    passage = _words("b", sentence_spans.PASSAGE - sentence_spans.EVERY)
+    whole = f"Some other start {passage} and other end."
+    assert _kept_of_second(spark, passage, "Some other start ", " and other end.") == whole
+
+
+def test_sentence_marks_beyond_ascii(spark):
+    chinese = "".join(chr(0x4E00 + 7 * i) for i in range(34)) + "\u3002"
+    assert _kept_of_second(spark, chinese, "\u6211\u4eec\u3002", "\u4f60\u4eec\u3002") == (
+        "\u6211\u4eec\u3002\u4f60\u4eec\u3002"
+    )
+    for mark in "\u0964\u061f\u06d4":
+        passage = _words("x", 16) + mark
+        assert _kept_of_second(spark, passage, f"Start{mark} ", f" End{mark}") == f"Start{mark} End{mark}"
+
+
 # Quality, search, packing
 
 
