@@ -116,7 +116,7 @@ def _settled(keys, at, groups) -> pa.RecordBatch:
 
 
 def _anchor_rows(buckets, token, context, ids, keys, number, at) -> pa.RecordBatch:
-    """A payload per bucket: token and context (32 bits each, the bucket has more), row, place, and
+    """A payload per bucket: context (64 bits), token (32 bits, the bucket has more), row, place, and
     the ids and keys of the rows."""
     where = bucket_of(token, buckets)
     order = np.argsort(where, kind="stable")
@@ -125,8 +125,8 @@ def _anchor_rows(buckets, token, context, ids, keys, number, at) -> pa.RecordBat
     for part in np.split(order, starts[1:]):
         used, row = np.unique(number[part], return_inverse=True)
         arrays = [
+            context[part],
             token[part].astype(np.uint32),
-            context[part].astype(np.uint32),
             row.astype(np.uint32),
             at[part].astype(np.int32),
             ids[used],
@@ -148,11 +148,10 @@ def _read_anchors(batches: Iterator[pa.RecordBatch]):
         for bucket, p in zip(b.column("bucket").to_pylist(), b.column("payload")):
             raw = p.as_buffer()
             n, m = np.frombuffer(raw, np.int64, 2)
-            token, context, row = (
-                np.frombuffer(raw, np.uint32, n, 16 + 4 * n * i) for i in range(3)
-            )
-            at = np.frombuffer(raw, np.int32, n, 16 + 12 * n)
-            ids, keys = (np.frombuffer(raw, np.int64, m, 16 + 16 * n + 8 * m * i) for i in range(2))
+            context = np.frombuffer(raw, np.uint64, n, 16)
+            token, row = (np.frombuffer(raw, np.uint32, n, 16 + 8 * n + 4 * n * i) for i in range(2))
+            at = np.frombuffer(raw, np.int32, n, 16 + 16 * n)
+            ids, keys = (np.frombuffer(raw, np.int64, m, 16 + 20 * n + 8 * m * i) for i in range(2))
             named = (np.uint64(bucket) << np.uint64(32)) + token.astype(np.uint64)
             for held, x in zip(parts, (named, context, ids[row], keys[row], at)):
                 held.append(x)

@@ -212,6 +212,20 @@ def test_repeated_bytes(spark, odd, empty, crowded, monkeypatch):
     assert suffix_dedup.suffix_table(empty).count() == 0
 
 
+def test_contexts_that_agree_in_32_bits_are_told_apart():
+    token = np.full(3, 9 << 40, np.uint64)
+    context = np.array([5, 5 + (1 << 32), 5], np.uint64)
+    ids, keys = np.array([1, 2, 3]), np.array([10, 20, 30])
+    batch = suffix_dedup._anchor_rows(4, token, context, ids, keys, np.arange(3), np.array([40, 41, 42]))
+    found = {1: [], 2: []}
+    for b in suffix_dedup._settle(1, 50_000)(iter([batch])):
+        for kind, p in zip(b.column("kind").to_pylist(), b.column("payload").to_pylist()):
+            rk, at, _ = suffix_dedup.unpack(p, suffix_dedup._MARK)
+            found[kind] += zip(rk.tolist(), at.tolist())
+    assert found[1] == [(30, 42)]
+    assert sorted(found[2]) == [(10, 40), (20, 41)]
+
+
 def test_sentence_spans(spark, odd, empty):
     body = " ".join(f"Sentence number {i} has some words in it." for i in range(8))
     rows = [(1, f"Start one. {body}"), (2, f"Begin two! {body} End."), (3, "Alone it stands."), (4, None)]
