@@ -14,16 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shiftledger.llm.common import crc_of_id, small_batches
 
 WINDOW = 64
 BATCH_WINDOWS = 2048
-# The training sample: so many documents of each of the most frequent languages, one slice of each.
+# The training sample: so many documents of each language, one slice of each.
 SAMPLE_DOCS = 500
 SAMPLE_CHARS = 256
-LANGUAGES = 64
 # A small sample is gone through more often, so that training takes so many steps.
 LEAST_STEPS = 160
 UNKNOWN = "und"
@@ -215,7 +214,7 @@ def has_letter(text: Column) -> Column:
 
 
 def training_windows(docs: DataFrame):
-    """Bounded sample of labelled slices: byte windows, lengths, label numbers and languages.
+    """Sample of labelled slices, bounded for each language: byte windows, lengths, label numbers and languages.
 
     Learns from rows with a language, a letter and an id whose crc32 leaves no remainder 1 by 3.
     """
@@ -226,8 +225,7 @@ def training_windows(docs: DataFrame):
         docs.where(F.col("lang").isNotNull() & (F.pmod(crc_of_id(), F.lit(3)) != 1))
         .groupBy("lang")
         .count()
-        .orderBy(F.desc("count"), "lang")
-        .limit(LANGUAGES)
+        .orderBy("lang")
         .collect()
     )
     empty = (np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), np.zeros(0, int), [])
@@ -244,23 +242,21 @@ def training_windows(docs: DataFrame):
         .select(
             "lang", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("slice"), draw.alias("d")
         )
+        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("d", "slice")))
+        .where(F.col("n") <= SAMPLE_DOCS)
         .orderBy("d", "slice", "lang")
-        .limit(2 * SAMPLE_DOCS * LANGUAGES)
         .collect()
     )
     languages = sorted({r["lang"] for r in rows})
-    taken = dict.fromkeys(languages, 0)
+    number = {lang: i for i, lang in enumerate(languages)}
     windows, lengths, labels = [], [], []
     for r in rows:
-        if taken[r["lang"]] >= SAMPLE_DOCS:
-            continue
-        taken[r["lang"]] += 1
         data = np.frombuffer(r["slice"].encode("utf-8", "surrogatepass"), np.uint8)
         for at in range(0, len(data), WINDOW):
             piece = data[at : at + WINDOW]
             windows.append(np.pad(piece, (0, WINDOW - len(piece))))
             lengths.append(len(piece))
-            labels.append(languages.index(r["lang"]))
+            labels.append(number[r["lang"]])
     if not windows:
         return empty
     return np.array(windows, np.uint8), np.array(lengths), np.array(labels), languages

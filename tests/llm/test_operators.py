@@ -97,6 +97,15 @@ def test_language_of_held_out_documents(spark, odd, empty):
     assert language_id.language_table(empty).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 3)
+    rows = [(i, f"text number {i}", f"l{i % 80:02}") for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    windows, lengths, labels, languages = language_id.training_windows(docs)
+    assert languages == [f"l{i:02}" for i in range(80)]
+    assert set(labels) == set(range(80)) and max(Counter(labels.tolist()).values()) <= 3
+
+
 # Sharding
 
 
