@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from shiftledger.llm.best_fit_packing import pack
 from shiftledger.llm.common import table
 from shiftledger.llm.decontaminate import contamination_table
+from shiftledger.llm.embedding_whitening import whiten
 from shiftledger.llm.hilbert_shards import shard_documents
 from shiftledger.llm.jaccard_join import jaccard_table
 from shiftledger.llm.language_id import language_table
+from shiftledger.llm.lexical_search import search_table
 from shiftledger.llm.pii_boosting import pii_table
 from shiftledger.llm.quality_neighbours import quality_table
 from shiftledger.llm.sentence_spans import span_table
 from shiftledger.llm.suffix_dedup import suffix_table
+from shiftledger.llm.token_counts import token_table
 from shiftledger.llm.topk_search import top_k, whole_vectors
 
 
@@ -60,6 +63,20 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_table(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search_table(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +90,9 @@ QUERIES = {
         op8_suffix_dedup,
         op9_jaccard_join,
         op10_decontaminate,
+        op11_token_counts,
+        op12_embedding_whitening,
+        op13_lexical_search,
     )
 }
 
@@ -116,4 +136,28 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
   coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 as contaminated
 from doc_words left join hit using (r) left join named using (r)""",
+    "op13_lexical_search": r"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts
+  from documents),
+items as (
+  select row_number() over () as q, item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts
+  from (select distinct item_id, text from benchmark)),
+totals as (select count(*)::bigint as n_docs, sum(len(ts))::bigint as n_words from docs where len(ts) > 0),
+asked as (select q, item_id, term, count(*)::bigint as times
+  from (select q, item_id, unnest(ts) as term from items) group by all),
+found as (select r, doc_id, n, term, count(*)::bigint as tf
+  from (select r, doc_id, len(ts)::bigint as n, unnest(ts) as term from docs)
+  where term in (select term from asked) group by all),
+weights as (select term, floor(1000 * ln((2.0::double * n_docs + 2) / (2 * df + 1)))::bigint as w
+  from (select term, count(*) as df from found group by term), totals),
+scores as (
+  select q, item_id, r, doc_id, sum(w * times * ((1000000000 * tf)
+    // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_words))))::bigint as score
+  from asked join found using (term) join weights using (term), totals group by q, item_id, r, doc_id)
+select item_id, "rank", doc_id, score from (
+  select *, row_number() over (partition by q order by score desc, doc_id)::int as "rank"
+  from scores where score > 0) where "rank" <= 10""",
 }
