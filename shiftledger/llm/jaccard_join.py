@@ -370,6 +370,34 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def common_shingles(seen: DataFrame) -> np.ndarray:
+    """Sorted hashes of the shingles that occur most often, at most ``COMMON``.
+
+    A histogram of counts by steps of a sixteenth of a doubling gives the count from which on there are no
+    more than that. Only those hashes come to the driver, 8 bytes each, and they go to the tasks with the
+    closure.
+    """
+    step = F.floor(F.log2("times") * 16).alias("step")
+    counted = stored(
+        seen.where(F.size("common") > 0)
+        .select(F.explode(F.arrays_zip("common", "times")).alias("c"))
+        .groupBy(F.col("c.common").alias("h"))
+        .agg(F.sum("c.times").alias("times"))
+        .select("h", step),
+        "common",
+    )
+    least, total = None, 0
+    for r in sorted(counted.groupBy("step").count().collect(), reverse=True):
+        total += r["count"]
+        if total > COMMON:
+            break
+        least = r["step"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    found = counted.where(F.col("step") >= least).select("h").toArrow().column("h")
+    return np.sort(found.to_numpy().view(np.uint64))
+
+
 def linked_documents(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, n_shingles, component_id and ``node`` for every row of ``docs``.
 
@@ -394,16 +422,7 @@ def linked_documents(docs: DataFrame) -> DataFrame:
         "nodes",
     )
     rows = seen.select("doc_id", "tkey", "n_shingles", "node", "parity")
-    frequent = (
-        seen.where(F.size("common") > 0)
-        .select(F.explode(F.arrays_zip("common", "times")).alias("c"))
-        .groupBy(F.col("c.common").alias("h"))
-        .agg(F.sum("c.times").alias("times"))
-        .orderBy(F.desc("times"), "h")
-        .limit(COMMON)
-        .collect()
-    )
-    common = np.sort(np.array([r["h"] for r in frequent], np.int64).view(np.uint64))
+    common = common_shingles(seen)
     groups = stored(
         source.select("text")
         .mapInArrow(_sketches(common, buckets), DEALT)
