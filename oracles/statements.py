@@ -326,6 +326,11 @@ OTHER = {
       from customer group by c_custkey // 2""",
     "intake_rejected": """select c_custkey + 1 as line, case when c_custkey % 7 = 2 then 'open quote'
         when c_custkey % 7 = 3 then 'surplus cells' else 'kept' end as fate from customer""",
+    "intake_multiline": """select case when c_custkey % 13 <> 7 then 'AAA0' || lpad(cast(c_custkey as varchar), 6, '0')
+        else cast(c_custkey as varchar) end as id,
+      case when c_custkey % 13 = 7 then 'open quote' when c_custkey % 5 = 0 then c_name || chr(10) || chr(10) || 'says "no", twice'
+        when c_custkey % 5 = 1 then c_name || ',' || chr(10) || '","' else c_name
+      end as name, case when c_custkey % 13 <> 7 then (c_custkey % 80)::double end as hours from customer""",
     "rejected_periods": """select distinct case when seq % 4 = 2 then 'other' else 'demo' end as client_id,
         case seq % 4 when 1 then '2024-01-25' when 3 then '2024-01-12' else '2024-01-26' end as pay_date,
         case when seq % 4 = 0 then 'STRAGGLER_WARNING' else 'HARD_ERROR' end as error_type from punches""",
@@ -339,6 +344,19 @@ OTHER = {
     "raw_copy": f"""select {emp('c_custkey')} as id, c_name as name, {loc('c_custkey')} as location,
       coalesce((select sum(l_quantity) from orders join lineitem on l_orderkey = o_orderkey
         where o_custkey = c_custkey and l_returnflag = 'N'), 0)::double as hours from customer""",
+    "raw_waivers": """with filed as (select cast(c_custkey as varchar) as "ID",
+        case when c_custkey % 3 = 0 then 'x' else 'no, "' || c_name || '"' || chr(10) end as "Check",
+        case when c_custkey % 2 = 0 then '2024-01-26' else '2024-02-09' end as filed from customer)
+      select copy, "ID", "Check", filed from filed, (values ('waivers'), ('waivers_json')) t(copy) union all
+      select copy, "ID", "Check", null from filed, (values ('waivers_of_client'), ('waivers_of_client_json')) t(copy)
+        where cast("ID" as int) % 5 = 0""",
+    "employee_punches": f"""select id as "ID", {iso('in_punch')} as "In Punch", {iso('out_punch')} as "Out Punch",
+      shift_no::bigint as "Shift Number" from facts where id = 'AAA0000003'
+      and cast(in_punch as date) between date '2024-01-07' and date '2024-01-20'""",
+    "employee_daily": """select id as "ID", cast(workday as varchar) as "Attributed_Workday", hours_worked as "Hours_Worked",
+      regular_hours as "Regular_Hrs", ot_hours as "OT_Hrs" from audited where id = 'AAA0000003'""",
+    "changed_streaks": """select id, '2024-01-26' as pay_date, streak::bigint as recorded, null::bigint as current from daily
+      where workday = date '2024-01-06' and location = 'CCC' and cast(right(id, 1) as int) % 2 = 0""",
     "stored_report": REPORTS["overtime_checks_variances"],
     "run_metadata": """select '2024-01-26' as pay_date, '2024-01-07' as first_date, '2024-01-20' as last_date,
       (select count(*) from punches) as ta_rows, (select count(*) from customer) as wfn_rows, 0::bigint as waiver_rows""",

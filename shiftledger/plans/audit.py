@@ -22,10 +22,9 @@ from shiftledger.operators.validate import (
     require_inputs,
 )
 from shiftledger.operators.weekly import daily_facts
-from shiftledger.plans.reports import TENANT, all_reports, json_safe
-from shiftledger.sinks import files
+from shiftledger.plans.reports import TENANT, all_reports
 from shiftledger.sinks.store import AuditStore
-from shiftledger.sources.stored import stored_carryover
+from shiftledger.sources.stored import changed_streaks, stored_carryover
 
 
 @dataclass(frozen=True)
@@ -123,60 +122,107 @@ def run(
     ignore_warnings: bool = False,
     on_duplicate: str = "fail",
     on_invalid: str = "fail",
+    on_stale: str = "refresh",
 ) -> dict[str, DataFrame]:
-    """Validate, audit, store facts and reports, and return the reports.
+    """Validate, audit, store facts and reports in one commit, and return the stored reports.
 
-    Punch, register and daily facts are written once; summary, reports and saves read those files.
     An invalid period stops the batch ("fail"), or is left out and stored with its reason in the
     table ``rejected`` while all other periods are audited ("skip").
+
+    Later stored periods of the batch's clients whose carried streaks have changed by it are audited again from
+    their raw copies ("refresh"), or left as they are and named by ``changed_streaks`` ("keep").
     """
     require_inputs(punches, register)
-    spark = punches.sparkSession
-    used = []
-
-    def written(df: DataFrame) -> DataFrame:
-        path = store.staging()
-        used.append(path)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     rejected = None
-    if on_invalid == "skip":
-        rejected = written(rejected_periods(punches, register, rules, ignore_warnings))
-        punches = punches.join(rejected, TENANT, "left_anti").select(punches.columns)
-        register = register.join(rejected, TENANT, "left_anti").select(register.columns)
-    else:
-        validate(punches, register, rules, ignore_warnings)
-    register = unique_by(register, ["IDX", *TENANT], on_duplicate)
-    periods = punches.select(*TENANT).distinct()
+    with store.scratch() as written:
+        if on_invalid == "skip":
+            rejected = written(rejected_periods(punches, register, rules, ignore_warnings))
+            punches = punches.join(rejected, TENANT, "left_anti").select(punches.columns)
+            register = register.join(rejected, TENANT, "left_anti").select(register.columns)
+        else:
+            validate(punches, register, rules, ignore_warnings)
+        register = unique_by(register, ["IDX", *TENANT], on_duplicate)
+        periods = written(punches.select(*TENANT).distinct())
+        names = _save(store, punches, register, rules, waiver_rows, periods, rejected)
+        if on_stale == "refresh":
+            refresh_streaks(store, rules, periods.select("client_id").distinct())
+    return {n: store.read("reports", n) for n in names}
+
+
+def _save(
+    store: AuditStore,
+    punches: DataFrame,
+    register: DataFrame,
+    rules: Rules,
+    waiver_rows: DataFrame | None,
+    periods: DataFrame,
+    rejected: DataFrame | None = None,
+) -> list[str]:
+    """Audit valid periods and store everything about them in one commit; the names of the reports.
+
+    Punch, register and daily facts are written once; summary, reports and saves read those files.
+    """
     waivers = None
     if waiver_rows is not None:
         waivers = waivers_for_runs(prepare_waivers(waiver_rows), periods)
-    # Read before this run's partitions replace the stored ones.
-    carryover = stored_carryover(store, periods, rules)
-    lazy = audit(punches, register, rules, waivers, carryover)
-
-    facts, daily = written(lazy.punches), written(lazy.daily)
-    summary = written(break_credit_summary(facts))
-    done = Audit(facts, daily, summary, written(lazy.register), lazy.skipped)
-    store.save_punches(facts)
-    store.save_daily(daily)
-    store.save_raw(punches, "punches")
-    store.save_raw(register, "register")
-    if waiver_rows is not None:
-        store.save_raw(waiver_rows, "waivers")
-    runs = [tuple(r) for r in periods.collect()]
-    store.save_reports(done.reports(), runs)
-    if rejected is not None:
-        store.save_rejected(rejected, runs)
-    counts = {
-        "ta_rows": facts,
-        "anomalies_rows": summary,
-        "wfn_rows": register,
-        "waiver_rows": waivers,
-    }
-    store.save_runs(counts, rules, lazy.skipped)
-    shapes = {n: json_safe(df).schema for n, df in done.reports().items()}
-    for path in used:
-        files.remove(spark, path)
-    return {n: spark.read.schema(s).json(store.path("reports", n)) for n, s in shapes.items()}
+    with store.scratch() as written:
+        carryover = stored_carryover(store, periods, rules)
+        carryover = None if carryover is None else written(carryover)
+        lazy = audit(punches, register, rules, waivers, carryover)
+        facts, daily = written(lazy.punches), written(lazy.daily)
+        summary = written(break_credit_summary(facts))
+        done = Audit(facts, daily, summary, written(lazy.register), lazy.skipped)
+        reports = done.reports()
+        counts = {
+            "ta_rows": facts,
+            "anomalies_rows": summary,
+            "wfn_rows": register,
+            "waiver_rows": waivers,
+        }
+        with store.commit():
+            store.save_punches(facts)
+            store.save_daily(daily)
+            store.save_carried(carryover, periods)
+            store.save_raw(punches, "punches")
+            store.save_raw(register, "register")
+            if waiver_rows is not None:
+                store.save_raw(waiver_rows, "waivers")
+            store.save_reports(reports, periods)
+            if rejected is not None:
+                store.save_rejected(rejected, periods)
+            store.save_runs(counts, rules, lazy.skipped)
+    return list(reports)
+
+
+def refresh_streaks(store: AuditStore, rules: Rules, clients: DataFrame | None = None) -> int:
+    """Audit again, from their raw copies, stored periods whose carried streaks have changed.
+
+    The earliest such period of a client is right after one round, as the period before it does not change any
+    more; so the rounds end, with the periods audited again in all. ``clients`` (client_id) bounds the search.
+    """
+    done = 0
+    while True:
+        with store.scratch() as written:
+            changed = changed_streaks(store, rules, clients)
+            if changed is None:
+                return done
+            stale = written(changed.select(*TENANT).distinct())
+            n = stale.count()
+            if not n:
+                return done
+            punches, register = (store.read("raw", k).join(stale, TENANT, "left_semi") for k in ("punches", "register"))
+            _save(store, punches, register, rules, _filed_waivers(store, stale), stale)
+            done += n
+
+
+def _filed_waivers(store: AuditStore, periods: DataFrame) -> DataFrame | None:
+    """The waiver lists that hold for stored periods: those filed with them, else the client's."""
+    own, general = store.read("raw", "waivers"), store.read("raw", "waivers_of_client")
+    if own is not None:
+        own = own.join(periods, TENANT, "left_semi")
+    if general is not None:
+        general = general.join(periods, "client_id")
+        if own is not None:
+            general = general.join(own.select(*TENANT).distinct(), TENANT, "left_anti")
+            return own.unionByName(general, allowMissingColumns=True)
+    return own if own is not None else general

@@ -35,7 +35,14 @@ from shiftledger.sinks import files
 from shiftledger.sinks.store import AuditStore
 from shiftledger.sources import exports
 from shiftledger.sources.sample_tables import CLIENT, PAY_DATE, PRIOR_PAY_DATE, SampleTables
-from shiftledger.sources.stored import list_periods, load_results, query_daily, query_punches
+from shiftledger.sources.stored import (
+    changed_streaks,
+    list_periods,
+    load_results,
+    query_daily,
+    query_punches,
+    stored_carryover,
+)
 
 PERIOD_START, PERIOD_END = dt.date(2024, 1, 7), dt.date(2024, 1, 20)
 NEXT_PAY_DATE = dt.date(2024, 2, 9)
@@ -463,7 +470,7 @@ def _exported(i: Inputs, kind: str, head: list[str], line: str, source: DataFram
         F.lit(0).cast("long").alias("block"),
         F.col("seq").cast("decimal(38,0)").alias("seq"),
         "value",
-    )
+    ).repartition("file").sortWithinPartitions("file", "seq")
 
 
 def _intake_punches(i: Inputs) -> DataFrame:
@@ -559,6 +566,42 @@ def _intake_rejected(i: Inputs) -> DataFrame:
     )
 
 
+def _exported_files(i: Inputs, kind: str, head: list[str], line: str, source: DataFrame) -> str:
+    """The same lines in real files, one for each part; the folder of the intake."""
+    root = f"{shared_folder(i.spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    lines = _exported(i, kind, head, line, source)
+    folder = [*TENANT, "file"]
+    lines = lines.sortWithinPartitions(*folder, "seq").select(*folder, "value")
+    lines.write.partitionBy(*folder).text(root)
+    return root
+
+
+def _intake_multiline(i: Inputs) -> DataFrame:
+    """Payroll exports in real files, with names over several lines and names whose quote never closes."""
+    people = i.tables.table("customer").where("c_custkey is not null").selectExpr(
+        "c_custkey % 4 as part", "c_custkey as row", "c_custkey", "c_name"
+    )
+    root = _exported_files(
+        i,
+        "payroll",
+        [*[f"title {n}" for n in range(4)], '"title\nof two lines"', "CO.,FILE#,Payroll Name,PAY DATE,REG,OT"],
+        """concat('AAA,', c_custkey, ',"', c_name, case when c_custkey % 13 = 7 then ','
+            when c_custkey % 5 = 0 then '\n\nsays ""no"", twice",' when c_custkey % 5 = 1 then ',\n"","" ",'
+            else '",' end, '2024-01-26,', c_custkey % 80, ',1')""",
+        people,
+    )
+    register, intake = exports.read_register(i.spark, root, on_rejected="keep")
+    kept = register.select(
+        F.col("IDX").alias("id"), F.col("Payroll Name").alias("name"), F.col("Regular Hours").alias("hours")
+    )
+    bad = intake.rejected.select(
+        F.regexp_extract("value", "^AAA,([0-9]+),", 1).alias("id"),
+        F.col("reason").alias("name"),
+        F.lit(None).cast("double").alias("hours"),
+    )
+    return kept.unionByName(bad.where("id <> ''"))
+
+
 def _rejected_periods(i: Inputs) -> DataFrame:
     """Periods of several clients: stragglers, off the cycle, unknown client, no register."""
     which = F.pmod("seq", F.lit(4))
@@ -613,7 +656,7 @@ def _raw_copy(i: Inputs) -> DataFrame:
     """The register as kept in the raw copy, read back as text."""
     store = _store(i, "raw")
     store.save_raw(i.tables.register.where("client_id is not null"), "register")
-    raw = i.spark.read.option("header", True).csv(store.path("raw", "register"))
+    raw = store.read("raw", "register")
     return raw.select(
         F.col("IDX").alias("id"),
         F.col("Payroll Name").alias("name"),
@@ -622,11 +665,77 @@ def _raw_copy(i: Inputs) -> DataFrame:
     )
 
 
+def _raw_waivers(i: Inputs) -> DataFrame:
+    """Waiver lists of two pay dates and one of the client, read back from the CSV and the JSON copies."""
+    store = _store(i, "raw-waivers")
+    filed = i.tables.table("customer").where("c_custkey is not null").select(
+        F.lit(CLIENT).alias("client_id"),
+        F.when(F.col("c_custkey") % 2 == 0, F.lit(PAY_DATE)).otherwise(F.lit(NEXT_PAY_DATE)).alias("pay_date"),
+        F.col("c_custkey").cast("string").alias("ID"),
+        F.expr("if(c_custkey % 3 = 0, 'x', concat('no, \"', c_name, '\"\n'))").alias("Check"),
+    )
+    store.save_raw(filed, "waivers")
+    store.save_raw(filed.where("ID % 5 = 0").drop("pay_date"), "waivers")
+    out = None
+    for copy in ("waivers", "waivers_json", "waivers_of_client", "waivers_of_client_json"):
+        df = store.read("raw", copy)
+        paid = F.col("pay_date") if "pay_date" in df.columns else F.lit(None).cast("date")
+        df = df.select(F.lit(copy).alias("copy"), "ID", "Check", paid.alias("filed"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+EMPLOYEE = "AAA0000003"
+
+
+def _employee_punches(i: Inputs) -> DataFrame:
+    """One employee's punches of some days from the stored table, whose files are clustered by ID."""
+    store = _store(i, "lookup")
+    store.save_punches(i.facts)
+    found = query_punches(store.read("punches"), CLIENT, EMPLOYEE, "2024-01-07", "2024-01-20", ["Shift Number"])
+    return found.select("ID", "In Punch", "Out Punch", "Shift Number")
+
+
+def _employee_daily(i: Inputs) -> DataFrame:
+    """The same for daily rows."""
+    store = _store(i, "lookup")
+    store.save_daily(i.daily)
+    found = query_daily(store.read("daily"), CLIENT, EMPLOYEE)
+    return found.select("ID", "Attributed_Workday", "Hours_Worked", "Regular_Hrs", "OT_Hrs")
+
+
+def _changed_streaks(i: Inputs) -> DataFrame:
+    """Streaks that a stored period carries on from, after part of the period before was saved again without
+    its last two days."""
+    t, store = i.tables, _store(i, "streaks")
+    day = F.col("in_punch").cast("date")
+    before = t.punches.where(day < F.lit(PERIOD_START)).withColumn(
+        "pay_date", F.when(F.col("id").isNotNull(), F.lit(PRIOR_PAY_DATE))
+    )
+    prior = weekly.daily_windows(before, t.rules, None, t.profile_for(PRIOR_PAY_DATE))
+    rows = prior.select(
+        *TENANT,
+        F.col("id").alias("ID"),
+        F.col("location").alias("Location"),
+        F.col("workday").alias("Attributed_Workday"),
+        F.col("days_worked").alias("Days_Worked_In_Week"),
+    )
+    key = ["client_id", "ID", "Location", "Attributed_Workday"]
+    store.replace_periods(rows, "daily", key)
+    periods = t.punches.where("client_id is not null").select(*TENANT).distinct()
+    with store.commit():
+        store.save_runs({"ta_rows": periods}, t.rules, {})
+        store.save_carried(stored_carryover(store, periods, t.rules), periods)
+    cut = (F.substring("ID", -1, 1).cast("int") % 2 == 0) & (F.col("Attributed_Workday") > "2024-01-04")
+    store.replace_periods(rows.where(~cut), "daily", key)
+    return changed_streaks(store, t.rules).select("id", "pay_date", "recorded", "current")
+
+
 def _stored_run(i: Inputs) -> AuditStore:
     store = _store(i, "results")
     names = ["overtime_checks_variances"]
     known = i.register.where("client_id is not null")
-    store.save_reports({n: register_report(n, known) for n in names}, [(CLIENT, PAY_DATE)])
+    store.save_reports({n: register_report(n, known) for n in names}, known.select(*TENANT).distinct())
     tables = {"ta_rows": i.tables.punches, "wfn_rows": i.tables.register, "waiver_rows": None}
     counts = {n: d if d is None else d.where("client_id is not null") for n, d in tables.items()}
     store.save_runs(counts, i.tables.rules, {})
@@ -786,11 +895,16 @@ def _catalog() -> dict[str, Callable[[Inputs], DataFrame]]:
             "intake_register": _intake_register,
             "intake_waivers": _intake_waivers,
             "intake_rejected": _intake_rejected,
+            "intake_multiline": _intake_multiline,
             "rejected_periods": _rejected_periods,
             "save_punches": _save_punches,
             "save_daily": _save_daily,
             "delete_period": _delete_period,
             "raw_copy": _raw_copy,
+            "raw_waivers": _raw_waivers,
+            "employee_punches": _employee_punches,
+            "employee_daily": _employee_daily,
+            "changed_streaks": _changed_streaks,
             "stored_report": _stored_report,
             "run_metadata": _run_metadata,
             "rules_documents": _rules_documents,

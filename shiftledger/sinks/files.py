@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -26,6 +27,32 @@ def remove(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.delete(p, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """The content of a small file."""
+    fs, p = _handle(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that must not exist yet; False if it does."""
+    fs, p = _handle(spark, path)
+    try:
+        stream = fs.create(p, False)
+    except Py4JJavaError:
+        if fs.exists(p):
+            return False
+        raise
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    return True
+
+
 def partition_path(spark: SparkSession, root: str, client_id: str, pay_date) -> str:
     name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
     parts = [

@@ -1,10 +1,11 @@
 """Intake of delimited exports whose header row and system differ per file.
 
-Files are read line by line, so one huge export is split over many tasks. Only the first lines of
-each file are looked at to find its header; the system that matches first wins. Line order is kept
-in ``seq`` without a shuffle.
+Files are read line by line, so one huge export is split over many tasks; ``records`` joins the lines of
+records whose quoted cells hold line breaks. Files are read once: headers are found among the first
+records of each file, which are marked on the way; the system that matches first wins. Line order is
+kept in ``seq`` without a shuffle.
 
-Expected layout: ``root/client_id=<client>/pay_date=<yyyy-mm-dd>/<file>``, one record per line.
+Expected layout: ``root/client_id=<client>/pay_date=<yyyy-mm-dd>/<file>``.
 """
 
 from __future__ import annotations
@@ -17,15 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from shiftledger.config import fixed_values as fv
 from shiftledger.config.systems import PUNCH_SYSTEMS, REGISTER_SYSTEMS, SourceSystem
 from shiftledger.operators.normalize import normalize_punches, normalize_register
-
-# Rows of one task are numbered below this by Spark.
-_ROW_BITS = 33
-# Headers are looked for in splits that start in the first MiB, however small the splits are.
-HEAD_BYTES = 1 << 20
+from shiftledger.sources.records import OPEN_QUOTE, ROW_BITS, Records, opens_cell, without_escapes, without_quoted_cells
 
 LINE_SCHEMA = "value string, client_id string, pay_date date"
 
 WAIVER_LIST = SourceSystem("Waiver list", 0, ("ID", "Check"))
+WAIVERS_UNRECOGNIZED = "WAIVER_LIST_UNRECOGNIZED"
 
 
 class UnrecognizedSystem(ValueError):
@@ -56,14 +54,14 @@ def read_lines(spark: SparkSession, root: str) -> DataFrame:
     A decimal holds both whole, so the order is right for splits and files of any size.
     """
     lines = spark.read.schema(LINE_SCHEMA).text(root)
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     block = F.col("_metadata.file_block_start")
     return lines.select(
         "client_id",
         "pay_date",
         F.col("_metadata.file_path").alias("file"),
         block.alias("block"),
-        (block.cast("decimal(20,0)") * F.lit(1 << _ROW_BITS) + row).cast("decimal(38,0)").alias("seq"),
+        (block.cast("decimal(20,0)") * F.lit(1 << ROW_BITS) + row).cast("decimal(38,0)").alias("seq"),
         # A byte-order mark or a carriage return is not part of the text.
         F.regexp_replace("value", "^﻿|\r$", "").alias("value"),
     )
@@ -79,22 +77,25 @@ def _header_cells(line):
 
 def line_fault(line: Column, width: Column) -> Column:
     """Why a line is no record of ``width`` cells: an open quote, or surplus cells that are not blank."""
-    plain = F.regexp_replace(F.regexp_replace(line, '""', ""), r"\\.", "")
-    plain = F.regexp_replace(plain, '(^|,)[ ]*"[^"]*"', "$1q")
+    plain = without_quoted_cells(without_escapes(line))
     filled = F.regexp_replace(plain, "[, ]+$", "")
     commas = F.length(filled) - F.length(F.replace(filled, F.lit(","), F.lit("")))
-    return F.when(plain.rlike('(^|,)[ ]*"'), "open quote").when(commas >= width, "surplus cells")
+    return F.when(opens_cell(plain), OPEN_QUOTE).when(commas >= width, "surplus cells")
+
+
+def header_depth(systems: Sequence[SourceSystem]) -> int:
+    return max(s.header_row for s in systems) + 1
 
 
-def detect_systems(lines: DataFrame, systems: Sequence[SourceSystem]) -> DataFrame:
-    """(file, system, header_seq, header) per file; system is NULL where nothing matches."""
-    depth = max(s.header_row for s in systems) + 1
+def detect_systems(records: DataFrame, systems: Sequence[SourceSystem]) -> DataFrame:
+    """(file, system, header_seq, header) per file; system is NULL where nothing matches.
+
+    ``records`` must hold the first ones of every file, as many as the deepest header row needs.
+    """
     w = Window.partitionBy("file").orderBy("seq")
-    heads = lines.where(F.col("block") < HEAD_BYTES).withColumn("line", F.row_number().over(w))
     # A plain bound on the row number lets every task drop later lines before the shuffle.
-    heads = heads.where(F.col("line") <= depth).withColumns(
-        {"row": F.col("line") - 1, "header": _header_cells("value")}
-    )
+    heads = records.withColumn("line", F.row_number().over(w)).where(F.col("line") <= header_depth(systems))
+    heads = heads.withColumns({"row": F.col("line") - 1, "header": _header_cells("value")})
     matches = None
     for rank, s in enumerate(systems):
         complete = F.size(F.array_except(F.array(*[F.lit(c) for c in s.detect]), "header")) == 0
@@ -121,7 +122,12 @@ def parse_exports(lines: DataFrame, systems: Sequence[SourceSystem]) -> Intake:
     """As ``read_exports``, from lines as ``read_lines`` gives them."""
     if not systems:
         raise ValueError("no source systems configured")
-    found = detect_systems(lines, systems)
+    return parse_records(Records(lines, header_depth(systems)), systems)
+
+
+def parse_records(records: Records, systems: Sequence[SourceSystem]) -> Intake:
+    """As ``read_exports``, from records that are read already."""
+    found = detect_systems(records.early, systems)
     known = found.where("system is not null")
     # Distinct header names per system: as many as the exports have columns.
     names = known.select("system", F.size("header").alias("n"), F.explode("header").alias("name"))
@@ -129,10 +135,12 @@ def parse_exports(lines: DataFrame, systems: Sequence[SourceSystem]) -> Intake:
         F.max("n").alias("width"), F.collect_set("name").alias("names")
     )
     shapes = {r["system"]: (r["width"], r["names"]) for r in layout.collect()}
-    # Lines below the header of a recognised file, each with its fault, if any.
-    below = lines.where(F.trim("value") != "").join(known, "file").where("seq > header_seq")
+    # Records below the header of a recognised file, each with its fault, if any.
+    below = records.whole.where(F.trim("value") != "").join(known, "file").where("seq > header_seq")
     below = below.withColumn("reason", line_fault(F.col("value"), F.size("header")))
-    rejected = below.where("reason is not null")
+    rejected = below.where("reason is not null").unionByName(
+        records.rejected.join(known, "file").where("seq > header_seq")
+    )
     rejected = rejected.select("client_id", "pay_date", "file", "seq", "value", "reason")
     frames = {}
     for s in systems:
@@ -140,7 +148,9 @@ def parse_exports(lines: DataFrame, systems: Sequence[SourceSystem]) -> Intake:
             continue
         width, header_names = shapes[s.name]
         rows = below.where((F.col("system") == s.name) & F.col("reason").isNull())
-        cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))))
+        shape = F.lit(", ".join(f"c{i} string" for i in range(width)))
+        # Quotes inside cells are doubled; files that put a backslash before them are taken as well.
+        cells = F.from_csv(F.replace("value", F.lit('\\"'), F.lit('""')), shape, {"escape": '"'})
         rows = rows.withColumn("cells", cells)
         cells = F.array(*[F.col(f"cells.c{i}") for i in range(width)])
         rows = rows.withColumn("cells", cells)
@@ -203,6 +213,15 @@ def read_register(
     return normalized(intake, systems, normalize_register), intake
 
 
+def read_waiver_lists(
+    spark: SparkSession, root: str, on_unrecognized: str = "fail", on_rejected: str = "fail"
+) -> tuple[DataFrame | None, Intake]:
+    """The waiver lists as filed, with ``seq``, and their intake; see ``prepare_waivers``."""
+    intake = read_exports(spark, root, [WAIVER_LIST])
+    _complete(intake, WAIVERS_UNRECOGNIZED, on_unrecognized, on_rejected)
+    return intake.frames.get(WAIVER_LIST.name), intake
+
+
 def read_waivers(spark: SparkSession, root: str) -> DataFrame | None:
-    """The waiver list as filed, with ``seq``; see ``prepare_waivers``."""
-    return read_exports(spark, root, [WAIVER_LIST]).frames.get(WAIVER_LIST.name)
+    """The rows of ``read_waiver_lists``; what it would refuse is left out."""
+    return read_waiver_lists(spark, root, "quarantine", "keep")[0]

@@ -10,7 +10,6 @@ from shiftledger.config import fixed_values as fv
 from shiftledger.config.rules import Rules
 from shiftledger.operators.lookups import carryover_streaks
 from shiftledger.plans.reports import report_columns
-from shiftledger.sinks import files
 from shiftledger.sinks.store import AuditStore, NotFound, _of_period
 
 _BASE = ["ID", "In Punch", "Out Punch", "Employee"]
@@ -75,9 +74,10 @@ def load_results(store: AuditStore, client_id: str, pay_date) -> dict[str, DataF
     if runs is None or not _of_period(runs, client_id, pay_date).limit(1).count():
         raise NotFound(f"no processed data for {client_id} {pay_date}")
     out = {"run": _of_period(runs, client_id, pay_date)}
+    places = store.locate(client_id, pay_date)
     for name in (*fv.REGISTER_REPORTS, *fv.TIME_CARD_REPORTS):
-        path = store.partition(f"reports/{name}", client_id, pay_date)
-        if files.exists(store.spark, path):
+        path = places.get(f"reports/{name}")
+        if path:
             out[name] = store.spark.read.json(path)
         else:
             fields = [T.StructField(c, T.StringType()) for c in report_columns(name)]
@@ -106,3 +106,26 @@ def stored_carryover(store: AuditStore, runs: DataFrame, rules: Rules) -> DataFr
         "client_id", *[F.col(f"`{c}`").alias(internal[c]) for c in daily.columns if c in internal]
     )
     return carryover_streaks(facts, runs, rules)
+
+
+def changed_streaks(store: AuditStore, rules: Rules, clients: DataFrame | None = None) -> DataFrame | None:
+    """Streaks that stored periods were audited with and that the stored rows before them no longer give.
+
+    client_id, pay_date, id, recorded and current; either is NULL where there is none. ``clients`` (client_id)
+    bounds the search. None where nothing is stored.
+    """
+    runs, recorded = store.read("runs"), store.read("carried")
+    if runs is None or recorded is None:
+        return None
+    if clients is not None:
+        runs = runs.join(clients, "client_id", "left_semi")
+        recorded = recorded.join(clients, "client_id", "left_semi")
+    periods = runs.select("client_id", "pay_date")
+    current = stored_carryover(store, periods, rules)
+    key = ["client_id", "pay_date", "id"]
+    recorded = recorded.join(periods, key[:2], "left_semi").select(*key, F.col("carryover").alias("recorded"))
+    if current is None:
+        return recorded.withColumn("current", F.lit(None).cast("long"))
+    current = current.select(*key, F.col("carryover").cast("long").alias("current"))
+    both = recorded.join(current, key, "full_outer")
+    return both.where(~F.col("recorded").eqNullSafe(F.col("current")))

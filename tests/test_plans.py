@@ -13,7 +13,8 @@ from shiftledger.operators.punches import punch_windows
 from shiftledger.operators.weekly import daily_windows
 from shiftledger.plans.catalog import inputs
 from shiftledger.plans.reports import time_card_report
-from shiftledger.sources.exports import detect_systems, read_lines
+from shiftledger.sources.exports import detect_systems, header_depth, read_lines
+from shiftledger.sources.records import Records
 from shiftledger.sources.stored import query_punches
 
 
@@ -121,5 +122,6 @@ def test_header_search_drops_lines_before_the_shuffle(spark, tmp_path):
     folder = tmp_path / "client_id=a" / "pay_date=2024-01-26"
     folder.mkdir(parents=True)
     (folder / "f.csv").write_text("x\n" * 100)
-    text = plan(detect_systems(read_lines(spark, str(tmp_path)), PUNCH_SYSTEMS))
+    early = Records(read_lines(spark, str(tmp_path)), header_depth(PUNCH_SYSTEMS)).early
+    text = plan(detect_systems(early, PUNCH_SYSTEMS))
     assert "WindowGroupLimit" in text and "Partial" in text
