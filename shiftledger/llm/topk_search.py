@@ -101,20 +101,16 @@ def best_of_block(q_ids, q, floors, x_ids, x, axes, k):
 def whole_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id and ``v``: floor(256 x) of every component, as doubles.
 
-    Rows without an id or a vector, or with a missing or non-finite component, take no part. Of rows
-    that share an id the one with the smallest vector counts. Other columns are left aside.
+    Rows without an id or a vector, or with a missing or non-finite component, take no part. Rows that share
+    an id are candidates and queries each for itself. Other columns are left aside.
     """
     bad = F.exists(
         "embedding",
         lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))),
     )
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
-    return (
-        vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad)
-        .select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
-    )
+    whole = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad)
+    return whole.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
 def main_axes(vectors: DataFrame, width: int) -> np.ndarray:
@@ -141,7 +137,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products among all other ids.
 
     Both frames hold ``vec_id`` and ``v`` as of ``whole_vectors``. Shorter vectors count as filled up
-    with zeros. Equal scores go to the smaller vec_id. No vectors or no queries give no rows.
+    with zeros. Equal scores go to the smaller vec_id. Vectors that share an id are listed each; queries that
+    share an id have one list, of the best of all their scores. No vectors or no queries give no rows.
     """
     spark = vectors.sparkSession
     vectors = stored(vectors, "vectors")
