@@ -7,6 +7,8 @@ the places of the documents in their bins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shiftledger.llm.best_fit_packing import pack
@@ -19,11 +21,23 @@ from shiftledger.llm.pii_boosting import find, redacted
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+def shielded(docs: DataFrame, names: list[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` of ``docs``, which adds columns of these names: those of ``docs`` are out of its way meanwhile and
+    are the only ones in the end."""
+    taken = {name: f"__own_{name}" for name in names if name in docs.columns}
+    back = {own: name for name, own in taken.items()}
+    out = stage(docs.withColumnsRenamed(taken)).drop(*names)
+    return out.withColumnsRenamed(back).select(*docs.columns)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language is told with a score of at least one half."""
-    told = identify(docs.select("doc_id", "text", "lang", "source", "n_chars"))
-    good = F.col("language.score") >= LEAST_LANGUAGE_SCORE
-    return told.where((F.col("language.lang_pred") != UNKNOWN) & good).drop("language")
+
+    def known(df: DataFrame) -> DataFrame:
+        good = F.col("language.score") >= LEAST_LANGUAGE_SCORE
+        return identify(df).where((F.col("language.lang_pred") != UNKNOWN) & good)
+
+    return shielded(docs, ["language"], known)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -33,21 +47,21 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, folder: str) -> Dat
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that share no window of words with a benchmark item."""
-    found = contaminated_texts(docs, table(spark, folder, "benchmark")).select("key")
-    keyed = docs.withColumn("__key", text_key(F.col("text")))
-    return keyed.join(found, F.col("__key") == F.col("key"), "left_anti").drop("__key")
+    found = contaminated_texts(docs, table(spark, folder, "benchmark")).select(F.col("key").alias("__found"))
+    return docs.join(found, text_key(F.col("text")) == F.col("__found"), "left_anti")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars follows the text."""
-    seen = find(docs)
-    text = redacted(F.col("text"), F.col("spans"))
-    length = F.when(F.size("spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return (
-        seen.withColumn("text", text)
-        .withColumn("n_chars", F.coalesce(length, F.col("n_chars")))
-        .select(*docs.columns)
-    )
+
+    def clean(df: DataFrame) -> DataFrame:
+        seen = find(df).withColumn("text", redacted(F.col("text"), F.col("spans")))
+        if "n_chars" in df.columns:
+            length = F.when(F.size("spans") > 0, F.char_length("text").cast(df.schema["n_chars"].dataType))
+            seen = seen.withColumn("n_chars", F.coalesce(length, F.col("n_chars")))
+        return seen
+
+    return shielded(docs, ["base", "spans", "proposed"], clean)
 
 
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
