@@ -28,11 +28,15 @@ def remove(spark: SparkSession, path: str) -> bool:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    """The content of a small file."""
+    """The content of a small file; ValueError if it is damaged."""
     fs, p = _handle(spark, path)
     stream = fs.open(p)
     try:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() == "ChecksumException":
+            raise ValueError(f"{path}: checksum") from e
+        raise
     finally:
         stream.close()
 

@@ -18,7 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from shiftledger.config import fixed_values as fv
 from shiftledger.config.systems import PUNCH_SYSTEMS, REGISTER_SYSTEMS, SourceSystem
 from shiftledger.operators.normalize import normalize_punches, normalize_register
-from shiftledger.sources.records import OPEN_QUOTE, ROW_BITS, Records, opens_cell, without_escapes, without_quoted_cells
+from shiftledger.sources.records import (
+    OPEN_QUOTE,
+    ROW_BITS,
+    Records,
+    opens_cell,
+    without_escapes,
+    without_quoted_cells,
+)
 
 LINE_SCHEMA = "value string, client_id string, pay_date date"
 

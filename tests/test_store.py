@@ -8,11 +8,11 @@ import pytest
 from helpers import PAY_DATE, punches, rules
 from pyspark.sql import functions as F
 
-from shiftledger.plans.audit import run
+from shiftledger.plans.audit import refresh_streaks, run
 from shiftledger.sinks import files, manifest
 from shiftledger.sinks.manifest import Change, Conflict, Manifest
 from shiftledger.sinks.store import AuditStore
-from shiftledger.sources.stored import list_periods, load_results, query_daily, query_punches
+from shiftledger.sources.stored import changed_streaks, list_periods, load_results, query_daily, query_punches
 
 PRIOR = dt.date(2024, 1, 12)
 KEY = ["client_id", "ID"]
@@ -96,9 +96,11 @@ def test_a_commit_file_that_is_cut_short_is_not_there(spark, tmp_path):
     number = store.manifest.state().number
     for content in ("", '{"manifest": "x"', '{"manifest": "ab'):
         (tmp_path / "_manifest" / f"commit-{number + 1:020d}.json").write_text(content)
-        for crc in (tmp_path / "_manifest").glob(".*.crc"):
-            crc.unlink()
         assert rows_of(AuditStore(spark, str(tmp_path))) == before
+    # Also where the file system keeps a checksum that the content does not have.
+    sums = tmp_path / "_manifest" / f".commit-{number + 1:020d}.json.crc"
+    sums.write_bytes((tmp_path / "_manifest" / f".commit-{number:020d}.json.crc").read_bytes())
+    assert rows_of(AuditStore(spark, str(tmp_path))) == before
     # The next writer passes over it.
     store.replace_periods(frame(spark, NEW), "t", KEY)
     assert rows_of(store) == AFTER and store.manifest.state().number == number + 2
@@ -293,3 +295,39 @@ def test_states_are_readable(spark, tmp_path):
     assert set(json.loads(newest.read_text())["schemas"]) == {"t"}
     live = store.manifest.entries().select("table", "client_id", "pay_date").distinct()
     assert live.where(F.col("table") == "t").count() == 3
+
+
+# Streaks that the next period carries on from
+
+
+def test_streaks_follow_when_the_prior_period_is_saved_again(spark, tmp_path):
+    store, r = AuditStore(spark, str(tmp_path)), rules(spark)
+    whole = [("1", "CCC", f"{d:02d} 08:00", f"{d:02d} 16:00") for d in range(1, 7)]
+    pays = register_of(spark, ["1"], PRIOR)
+    waivers = spark.createDataFrame([("demo", "1", 1, "x")], "client_id string, ID string, seq long, Check string")
+
+    def prior(rows, **how):
+        run(store, punches(spark, rows, pay_date=PRIOR), pays, r, **how)
+
+    def streaks():
+        daily = store.read("daily").where(F.col("pay_date") == F.lit(PAY_DATE))
+        return {x["Attributed_Workday"].day: x["Days_Worked_In_Week"] for x in daily.collect()}
+
+    prior(whole)
+    later = punches(spark, [("1", "CCC", f"{d:02d} 08:00", f"{d:02d} 16:00") for d in (7, 8)])
+    run(store, later, register_of(spark, ["1"]), r, waivers)
+    assert streaks() == {7: 7, 8: 8} and changed_streaks(store, r).count() == 0
+
+    prior(whole[:4], on_stale="keep")
+    named = [tuple(x) for x in changed_streaks(store, r).select("pay_date", "id", "recorded", "current").collect()]
+    assert named == [(PAY_DATE, "1", 6, None)] and streaks() == {7: 7, 8: 8}
+    assert refresh_streaks(store, r) == 1
+    assert streaks() == {7: 1, 8: 2} and changed_streaks(store, r).count() == 0
+    assert load_results(store, "demo", PAY_DATE)["seven_consecutive"].count() == 0
+    # The waiver list of the client still holds.
+    assert store.read("punches").where("`Pay Date` = '2024-01-26'").select("Waiver on File?").distinct().count() == 1
+
+    # By default the save itself brings the later period up to date.
+    prior(whole)
+    assert streaks() == {7: 7, 8: 8}
+    assert load_results(store, "demo", PAY_DATE)["seven_consecutive"].count() == 2
