@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shiftledger.config import fixed_values as fv
 from shiftledger.config.rules import Rules
@@ -34,6 +34,7 @@ from shiftledger.plans.reports import (
 from shiftledger.sinks import files
 from shiftledger.sinks.store import AuditStore
 from shiftledger.sources import exports
+from shiftledger.sources.records import ROW_BITS
 from shiftledger.sources.sample_tables import CLIENT, PAY_DATE, PRIOR_PAY_DATE, SampleTables
 from shiftledger.sources.stored import (
     changed_streaks,
@@ -455,22 +456,45 @@ def _file_neighbours(i: Inputs) -> DataFrame:
     return lookups.file_neighbours(punches).select("seq", "id", "prev_id", "next_id")
 
 
-def _exported(i: Inputs, kind: str, head: list[str], line: str, source: DataFrame) -> DataFrame:
-    """Lines of exports as ``read_lines`` gives them: title lines, a header and a line per row.
+# Lines that one written file holds on average, at most, and bits for the number of a task's range of lines.
+FILE_LINES = 250_000
+RANGE_BITS = 20
+
+
+def _export_lines(kind: str, head: list[str], line: str, source: DataFrame) -> DataFrame:
+    """Numbered lines of exports: title lines, a header and a line per row.
 
     ``source`` carries ``part``, the file, and ``row``; ``line`` is the expression of its text.
     """
-    rows = source.select("part", (F.col("row") + len(head)).alias("seq"), F.expr(line).alias("value"))
-    top = F.posexplode(F.array(*[F.lit(h) for h in head])).alias("seq", "value")
+    rows = source.select("part", (F.col("row") + len(head)).alias("line"), F.expr(line).alias("value"))
+    top = F.posexplode(F.array(*[F.lit(h) for h in head])).alias("line", "value")
     heads = source.select("part").distinct().select("part", top)
     return rows.unionByName(heads).select(
         F.lit(CLIENT).alias("client_id"),
         F.lit(PAY_DATE).alias("pay_date"),
         F.concat(F.lit(f"{kind}-"), F.col("part").cast("string")).alias("file"),
-        F.lit(0).cast("long").alias("block"),
-        F.col("seq").cast("decimal(38,0)").alias("seq"),
+        F.col("line").cast("long").alias("line"),
         "value",
-    ).repartition("file").sortWithinPartitions("file", "seq")
+    )
+
+
+def _exported(kind: str, head: list[str], line: str, source: DataFrame) -> DataFrame:
+    """The lines of ``_export_lines`` as ``read_lines`` gives them: a task's range of a file is a split of it."""
+    lines = _export_lines(kind, head, line, source)
+    lines = lines.repartitionByRange("file", "line").sortWithinPartitions("file", "line")
+    # Ranges are numbered in the order of lines. Whatever a line's number, its lower bits fit a row.
+    block = F.shiftright("line", ROW_BITS) * F.lit(1 << RANGE_BITS) + F.spark_partition_id()
+    row = F.col("line").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    lines = lines.select("client_id", "pay_date", "file", block.alias("block"), row.alias("row"), "value")
+    seq = (F.col("block").cast("decimal(20,0)") * F.lit(1 << ROW_BITS) + F.col("row")).cast("decimal(38,0)")
+    return lines.select("client_id", "pay_date", "file", "block", seq.alias("seq"), "value")
+
+
+def _line_number() -> Column:
+    """The number of a line of ``_exported`` in its file, from ``seq``."""
+    row = F.expr(f"pmod(seq, {1 << ROW_BITS})")
+    block = F.expr(f"(seq - pmod(seq, {1 << ROW_BITS})) div {1 << ROW_BITS}")
+    return F.shiftright(block, RANGE_BITS) * F.lit(1 << ROW_BITS) + row.cast("long")
 
 
 def _intake_punches(i: Inputs) -> DataFrame:
@@ -487,14 +511,12 @@ def _intake_punches(i: Inputs) -> DataFrame:
       if(event_id % 50 = 3, '', date_format(tout, 'yyyy-MM-dd HH:mm:ss')), ',ok,,'"""
     titles = [f"title {n}" for n in range(7)]
     own = _exported(
-        i,
         "time",
         [*titles, "ID,Employee,In Punch,Out Punch, Status ,Status Date,In Punch Comment"],
         f"""concat(' AAA', lpad(cast(user_id as string), 7, '0'), ' ,"Doe, ', user_id, '",', {times})""",
         events.where("user_id % 2 = 0"),
     )
     other = _exported(
-        i,
         "manager",
         [
             *titles[:5],
@@ -516,7 +538,6 @@ def _intake_register(i: Inputs) -> DataFrame:
         "0 as part", "c_custkey as row", "c_custkey", "c_name", "c_acctbal"
     )
     lines = _exported(
-        i,
         "pay",
         [*[f"title {n}" for n in range(5)], "CO.,FILE#,Payroll Name,PAY DATE,REG,OT"],
         """concat('AAA,', c_custkey, ',"', c_name, ', X",', if(c_custkey % 9 = 4, 'bad', '2024-01-26'), ',',
@@ -541,7 +562,6 @@ def _intake_waivers(i: Inputs) -> DataFrame:
         "0 as part", "c_custkey as row", "c_custkey"
     )
     lines = _exported(
-        i,
         "waivers",
         ["ID,Check"],
         "concat(c_custkey div 2, ',', if(c_custkey % 3 = 0, ' X ', if(c_custkey % 3 = 1, '', 'no')))",
@@ -558,29 +578,30 @@ def _intake_rejected(i: Inputs) -> DataFrame:
     )
     line = '''concat(c_custkey, ',', if(c_custkey % 7 = 2, '"X', '"X, ""y"""'), if(c_custkey % 7 = 3, ',more', ', '))'''
     intake = exports.parse_exports(
-        _exported(i, "waivers", ["ID,Check"], line, people), [exports.WAIVER_LIST]
+        _exported("waivers", ["ID,Check"], line, people), [exports.WAIVER_LIST]
     )
     kept = intake.frames[exports.WAIVER_LIST.name].select("seq", F.lit("kept").alias("fate"))
     return kept.union(intake.rejected.select("seq", "reason")).select(
-        F.col("seq").cast("long").alias("line"), "fate"
+        _line_number().alias("line"), "fate"
     )
 
 
 def _exported_files(i: Inputs, kind: str, head: list[str], line: str, source: DataFrame) -> str:
     """The same lines in real files, one for each part; the folder of the intake."""
     root = f"{shared_folder(i.spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    lines = _exported(i, kind, head, line, source)
     folder = [*TENANT, "file"]
-    lines = lines.sortWithinPartitions(*folder, "seq").select(*folder, "value")
+    lines = _export_lines(kind, head, line, source).repartition("file")
+    lines = lines.sortWithinPartitions(*folder, "line").select(*folder, "value")
     lines.write.partitionBy(*folder).text(root)
     return root
 
 
 def _intake_multiline(i: Inputs) -> DataFrame:
     """Payroll exports in real files, with names over several lines and names whose quote never closes."""
-    people = i.tables.table("customer").where("c_custkey is not null").selectExpr(
-        "c_custkey % 4 as part", "c_custkey as row", "c_custkey", "c_name"
-    )
+    people = i.tables.table("customer").where("c_custkey is not null")
+    # A file is written by one task, so their number grows with the table.
+    files_ = max(4, people.count() // FILE_LINES)
+    people = people.selectExpr(f"c_custkey % {files_} as part", "c_custkey as row", "c_custkey", "c_name")
     root = _exported_files(
         i,
         "payroll",

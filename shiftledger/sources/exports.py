@@ -84,10 +84,13 @@ def _header_cells(line):
 
 def line_fault(line: Column, width: Column) -> Column:
     """Why a line is no record of ``width`` cells: an open quote, or surplus cells that are not blank."""
+    # Lines without quotes or surplus commas are told apart without patterns.
+    commas = F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))
+    suspect = F.contains(line, F.lit('"')) | (commas >= width)
     plain = without_quoted_cells(without_escapes(line))
     filled = F.regexp_replace(plain, "[, ]+$", "")
     commas = F.length(filled) - F.length(F.replace(filled, F.lit(","), F.lit("")))
-    return F.when(opens_cell(plain), OPEN_QUOTE).when(commas >= width, "surplus cells")
+    return F.when(suspect, F.when(opens_cell(plain), OPEN_QUOTE).when(commas >= width, "surplus cells"))
 
 
 def header_depth(systems: Sequence[SourceSystem]) -> int:
@@ -158,9 +161,9 @@ def parse_records(records: Records, systems: Sequence[SourceSystem]) -> Intake:
         shape = F.lit(", ".join(f"c{i} string" for i in range(width)))
         # Quotes inside cells are doubled; files that put a backslash before them are taken as well.
         cells = F.from_csv(F.replace("value", F.lit('\\"'), F.lit('""')), shape, {"escape": '"'})
-        rows = rows.withColumn("cells", cells)
-        cells = F.array(*[F.col(f"cells.c{i}") for i in range(width)])
-        rows = rows.withColumn("cells", cells)
+        # A generator, so that filters on cells do not bring the parsing with them, once for each use.
+        rows = rows.select("client_id", "pay_date", "file", "seq", "header", F.inline(F.array(cells)))
+        rows = rows.withColumn("cells", F.array(*[F.col(f"c{i}") for i in range(width)]))
 
         def cell(name):
             at = F.array_position("header", name)

@@ -6,6 +6,7 @@ import pytest
 from helpers import PAY_DATE, punches, rules
 from pyspark.sql import functions as F
 
+from shiftledger.plans import catalog
 from shiftledger.operators.lookups import DuplicateKeys, waivers_for_runs
 from shiftledger.operators.normalize import prepare_waivers
 from shiftledger.operators.validate import (
@@ -353,3 +354,25 @@ def test_rejected_lines_stop_or_are_kept_apart(spark, tmp_path):
     df, intake = read_punches(spark, str(tmp_path), on_rejected="keep")
     assert [r["id"] for r in df.collect()] == ["1"]
     assert [r["reason"] for r in intake.rejected.collect()] == ["open quote"]
+
+
+def test_one_written_file_is_dealt_over_tasks(spark):
+    """Line numbers may be negative or large; the order and the numbers stay."""
+    source = spark.range(1000).selectExpr("0 as part", "id * id * 1000003 - 5 as row", "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lines = catalog._exported("x", ["ID,Check"], "concat(id, ',x')", source)
+        rows = lines.withColumn("line", catalog._line_number()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r["block"] for r in rows}) > 2
+    assert sorted(r["line"] for r in rows) == sorted([0, *[n * n * 1000003 - 4 for n in range(1000)]])
+    rows.sort(key=lambda r: r["seq"])
+    assert [r["line"] for r in rows] == sorted(r["line"] for r in rows)
+
+
+def test_a_line_is_parsed_once(spark):
+    """Filters on cells must not bring the parsing with them."""
+    frame = catalog.registered()["intake_punches"](spark, "/root/testdata/sf0.001")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("from_csv") <= 2
