@@ -7,9 +7,8 @@ trees of depth two, one set per kind, learn from whole-number features of its fo
 it which candidates are of a kind; a threshold per kind is calibrated on candidates that were held out.
 Candidates above it that touch no base span are added; those that overlap become one span.
 
-The trees learn on bounded samples: documents drawn from all, and as many again of each kind that occurs, each
-weighted by what it stands for. Since disguised forms may be too rare to be drawn, the base spans of the
-sample are also spelt in disguise, in copies of their documents.
+The trees learn from the candidates of all documents. Since disguised forms may be rare, documents with
+base spans are also learned from in copies in which these are spelt in disguise.
 
 Training groups candidates by their features, so each step of boosting is one small aggregation. The
 trees become column expressions, and scoring is one pass over the texts without a shuffle. All steps within
@@ -46,9 +45,9 @@ PHONE_CUES = r"(?i)(tel|phone|call|fax|mobile|cell|contact)[a-z]*\W{0,3}$"
 CUES = r"(?i)(tel|phone|call|fax|mail|card|visa|pay|ip|host|addr|contact)[a-z]*\W{0,3}$"
 ROUNDS = 8
 RATE = 0.5
-SAMPLE_DOCS = 20_000
-SAMPLE_PER_KIND = 2_000
 PRECISION = 0.9
+# Gradients are summed as whole multiples of one part in so many, so the order of summation does not matter.
+UNIT = 1 << 24
 # Code points around a candidate that its features see, and in the pieces that texts are cut into.
 CONTEXT = 16
 PIECE = 512
@@ -368,15 +367,15 @@ def _sums(cells: DataFrame, trees: dict, paths: dict) -> dict:
             F.struct(
                 F.lit(k).alias("k"),
                 leaf.alias("leaf"),
-                (F.col("weight") * (y - p)).alias("g"),
-                (F.col("weight") * p * (1.0 - p)).alias("h"),
+                (F.col("weight") * F.round((y - p) * UNIT).cast("long")).alias("g"),
+                (F.col("weight") * F.round(p * (1.0 - p) * UNIT).cast("long")).alias("h"),
             )
         )
     long = cells.select("f", F.explode(F.array(*rows)).alias("r")).select(
         "r.*", F.posexplode("f").alias("feature", "value")
     )
     grouped = long.groupBy("k", "leaf", "feature", "value").agg(
-        F.round(F.sum("g"), 6).alias("g"), F.round(F.sum("h"), 6).alias("h")
+        (F.sum("g") / UNIT).alias("g"), (F.sum("h") / UNIT).alias("h")
     )
     out: dict = {}
     for r in grouped.collect():
@@ -435,25 +434,6 @@ def boost(cells: DataFrame, kinds: list[int]) -> dict[int, list]:
     return trees
 
 
-def training_docs(docs: DataFrame, sample_docs: int, per_kind: int) -> DataFrame:
-    """text and weight: documents drawn from all, and of each kind of base pattern, by a hash of the row.
-
-    A document's weight is the number of documents that it stands for.
-    """
-    hint = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-    flags = [
-        F.coalesce(F.col("text").contains(hint[k]) & F.col("text").rlike(BASE[k]), F.lit(False)) for k in KINDS
-    ]
-    marked = docs.select("doc_id", "text", *[f.alias(f"is_{k}") for k, f in zip(KINDS, flags)])
-    n, *each = marked.agg(F.count(F.lit(1)), *[F.count_if(f"is_{k}") for k in KINDS]).first()
-    share = F.greatest(
-        F.lit(min(1.0, sample_docs / max(n, 1))),
-        *[F.when(F.col(f"is_{k}"), min(1.0, per_kind / max(c, 1))).otherwise(0.0) for k, c in zip(KINDS, each)],
-    )
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(1 << 30)
-    return marked.where(draw < share).select("text", (1.0 / share).alias("weight"))
-
-
 def disguised(text: Column, base: Column) -> Column:
     """The text with its base spans spelt in disguise, the way drawn by their text."""
 
@@ -482,27 +462,41 @@ def disguised(text: Column, base: Column) -> Column:
     return replaced(text, base, spell)
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, per_kind: int = SAMPLE_PER_KIND) -> Boosted:
-    """Learn from the candidates of bounded samples of documents; see ``training_docs``."""
-    sample = stored(training_docs(docs, sample_docs, per_kind), "sample")
-    based = sample.select("text", base_spans(F.coalesce("text", F.lit(""))).alias("base"), "weight")
+def reaches(base: Column) -> Column:
+    """Reach of the first n base spans, for n from 0 on."""
+    return running(F.concat(F.transform(base, lambda b: b["e"]), F.array(F.lit(0))), lambda a, x: F.greatest(a, x))
+
+
+def examples(proposed: Column, base: Column) -> Column:
+    """(s, f, label) of the candidates to learn from: those that equal a base span or touch none."""
+
+    def labels(starts: Column, reach: Column) -> Column:
+        def labelled(c: Column) -> Column:
+            # One base span of each kind at most starts at a place.
+            near = F.slice(base, count_below(starts, c["s"]) + 1, len(KINDS))
+            same = F.filter(near, lambda b: (b["s"] == c["s"]) & (b["e"] == c["e"]))
+            free = F.get(reach, count_below(starts, c["e"])) <= c["s"]
+            label = F.coalesce(F.get(same, F.lit(0))["k"], F.when(free, c["y"]))
+            return F.struct(c["s"].alias("s"), c["f"].alias("f"), label.alias("label"))
+
+        return F.filter(F.transform(proposed, labelled), lambda c: c["label"].isNotNull())
+
+    return let(F.transform(base, lambda b: b["s"]), lambda s: let(reaches(base), lambda r: labels(s, r)))
+
+
+def fit(docs: DataFrame) -> Boosted:
+    """Learn from the candidates of all documents, and of copies with their base spans in disguise."""
+    docs = docs.select("text")
+    based = docs.select("text", base_spans(F.coalesce("text", F.lit(""))).alias("base")).where(F.size("base") > 0)
     # Written, so that what follows does not spell them anew for every use.
-    copies = stored(
-        based.where(F.size("base") > 0).select(disguised(F.col("text"), F.col("base")).alias("text"), "weight"), "copies"
+    copies = stored(based.select(disguised(F.col("text"), F.col("base")).alias("text")), "copies")
+    both = with_candidates(docs.unionByName(copies))
+    seen = both.select(
+        F.xxhash64("text").alias("d"), F.explode(examples(F.col("proposed"), F.col("base"))).alias("c")
     )
-    both = with_candidates(stored(sample.unionByName(copies), "sample"))
-    seen = both.select("weight", "base", F.xxhash64("text").alias("d"), F.explode("proposed").alias("c"))
-    same = F.filter("base", lambda b: (b["s"] == F.col("c.s")) & (b["e"] == F.col("c.e")))
-    touching = F.exists("base", lambda b: (b["s"] < F.col("c.e")) & (b["e"] > F.col("c.s")))
-    label = F.when(F.size(same) > 0, F.element_at(F.transform(same, lambda b: b["k"]), 1)).otherwise(F.col("c.y"))
     held = F.pmod(F.xxhash64("d", "c.s"), F.lit(4)) == 0
     cells = stored(
-        seen.withColumn("label", label)
-        .where((F.size(same) > 0) | ~touching)
-        .groupBy(F.col("c.f").alias("f"), "label", held.alias("held"))
-        .agg(F.sum("weight").alias("weight"))
-        .coalesce(1),
-        "cells",
+        seen.groupBy("c.f", "c.label", held.alias("held")).agg(F.count(F.lit(1)).alias("weight")), "cells"
     )
     learn = cells.where(~F.col("held"))
     present = {r["label"] for r in cells.select("label").distinct().collect()}
@@ -515,13 +509,13 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, per_kind: int = SAMPLE_
             cells.where("held")
             .groupBy(F.round(margin(trees[k], F.col("f")), 6).alias("m"))
             .agg(
-                F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0.0)).alias("good"),
+                F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0)).alias("good"),
                 F.sum("weight").alias("all"),
             )
             .orderBy(F.desc("m"))
             .collect()
         )
-        good = every = 0.0
+        good = every = 0
         for r in steps:
             good, every = good + r["good"], every + r["all"]
             if r["m"] > 0 and good > 0 and good / every >= PRECISION:
@@ -547,12 +541,10 @@ def added(model: Boosted, proposed: Column, base: Column) -> Column:
         return F.struct(c["s"].alias("s"), c["e"].alias("e"), F.array_max(F.array(*margins)).alias("j"))
 
     sure = F.filter(F.transform(proposed, judged), lambda c: c["j"]["sure"] >= 0)
-    starts, ends = F.transform(base, lambda b: b["s"]), F.transform(base, lambda b: b["e"])
-    # Reach of the first n base spans, for n from 0 on.
-    reach = running(F.concat(ends, F.array(F.lit(0))), highest)
+    starts = F.transform(base, lambda b: b["s"])
     free = let(
         starts,
-        lambda s: let(reach, lambda r: F.filter(sure, lambda c: F.get(r, count_below(s, c["e"])) <= c["s"])),
+        lambda s: let(reaches(base), lambda r: F.filter(sure, lambda c: F.get(r, count_below(s, c["e"])) <= c["s"])),
     )
 
     def merged(some: Column) -> Column:

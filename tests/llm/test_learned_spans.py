@@ -112,6 +112,30 @@ def test_a_table_without_any_span_adds_nothing(spark):
     assert pii_boosting.find(docs).where("size(spans) > 0").count() == 0
 
 
+def test_forms_in_few_of_many_documents_are_learned(spark):
+    """What is learned comes from all documents: 20 of 400,000 hold mail addresses, all in disguise."""
+    text = F.when(
+        F.col("id") % 20_000 == 6_880, F.concat(F.lit("to jo"), "id", F.lit(" (at) mail (dot) org"))
+    ).otherwise("plain words")
+    model = pii_boosting.fit(spark.range(400_000).select(F.col("id").alias("doc_id"), text.alias("text")))
+    assert set(model.thresholds) == {0}
+    docs = spark.createDataFrame([("ask ann (at) mail (dot) org now",)], "text string")
+    assert [tuple(x) for x in pii_boosting.find(docs, model).first()["spans"]] == [(4, 0, 27)]
+
+
+def test_examples_equal_a_base_span_or_touch_none(spark):
+    p = pii_boosting
+    texts = ["a@b.cd x jo (at) c (dot) de", "10.1.1.1 +1 269 555 3296 4111 1111 1111 1111 " * 20, "1.2.3.4.5 12 34 56 78 9", ""]
+    seen = p.with_candidates(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for r in seen.withColumn("x", p.examples(F.col("proposed"), F.col("base"))).collect():
+        want = []
+        for c in r["proposed"]:
+            same = [b["k"] for b in r["base"] if (b["s"], b["e"]) == (c["s"], c["e"])]
+            if same or not any(b["s"] < c["e"] and b["e"] > c["s"] for b in r["base"]):
+                want.append((c["s"], c["f"], same[0] if same else c["y"]))
+        assert [tuple(x) for x in r["x"]] == want
+
+
 def test_stages_keep_columns_that_clash_with_their_own(spark):
     import corpus_pipeline
 
