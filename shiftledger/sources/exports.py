@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shiftledger.config import fixed_values as fv
 from shiftledger.config.systems import PUNCH_SYSTEMS, REGISTER_SYSTEMS, SourceSystem
+from shiftledger.functions.timeline import materialise
 from shiftledger.operators.normalize import normalize_punches, normalize_register
 from shiftledger.sources.records import (
     OPEN_QUOTE,
@@ -137,7 +138,8 @@ def parse_exports(lines: DataFrame, systems: Sequence[SourceSystem]) -> Intake:
 
 def parse_records(records: Records, systems: Sequence[SourceSystem]) -> Intake:
     """As ``read_exports``, from records that are read already."""
-    found = detect_systems(records.early, systems)
+    # Written, so that Spark knows how few they are and does not shuffle the records by file.
+    found = materialise(detect_systems(records.early, systems))
     known = found.where("system is not null")
     # Distinct header names per system: as many as the exports have columns.
     names = known.select("system", F.size("header").alias("n"), F.explode("header").alias("name"))

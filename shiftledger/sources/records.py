@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shiftledger.functions.timeline import shared_folder
+from shiftledger.functions.timeline import materialise, shared_folder
 
 # The walk travels with its tasks: executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -204,7 +204,8 @@ class Records:
         )
         source.mapInArrow(_walk(depth), _WALKED).write.parquet(path)
         self._walked = spark.read.schema(_WALKED).parquet(path)
-        self._starts = self._states()
+        # Written, so that Spark knows how few they are and does not shuffle the lines to meet them.
+        self._starts = materialise(self._states())
         self.whole, self.rejected = self._resolved(F.col("tag") < _SUMMARY)
         self.early = self._resolved(F.col("tag") == _EARLY)[0]
 
