@@ -37,35 +37,32 @@ def curve_index(axes: list[Column], bits: int) -> Column:
     if n * bits > 62:
         raise ValueError("the curve index must fit in a long")
     levels = [1 << b for b in range(bits - 1, 0, -1)]
-    steps = [F.struct(F.lit(q).alias("q"), F.lit(i).alias("i")) for q in levels for i in range(n)]
-    point = F.array(*[a.cast("long") for a in axes])
+    # The point is one long, ``bits`` bits an axis from the lowest on: a step then makes no arrays.
+    copies = sum(1 << (i * bits) for i in range(n))
+    steps = [F.struct(F.lit(q).alias("q"), F.lit(i * bits).alias("at")) for q in levels for i in range(n)]
+    point = reduce(
+        lambda a, b: a.bitwiseOR(b), [F.shiftleft(a.cast("long"), i * bits) for i, a in enumerate(axes)]
+    )
 
     def turn(x: Column, s: Column) -> Column:
         low = s["q"] - 1
-        first, own = x[0], F.get(x, s["i"])
-        swap = first.bitwiseXOR(own).bitwiseAND(low)
+        own = F.call_function("shiftright", x, s["at"])
+        swap = x.bitwiseXOR(own).bitwiseAND(low)
         reflect = own.bitwiseAND(s["q"]) != 0
-        return F.transform(
-            x,
-            lambda v, j: F.when(reflect, F.when(j == 0, v.bitwiseXOR(low)).otherwise(v))
-            .when((j == 0) & (s["i"] == 0), v)
-            .when((j == 0) | (j == s["i"]), v.bitwiseXOR(swap))
-            .otherwise(v),
-        )
+        # The first axis itself: both sides of the swap are the same bits, which stay.
+        both = swap.bitwiseXOR(F.call_function("shiftleft", swap, s["at"]))
+        return x.bitwiseXOR(F.when(reflect, low.cast("long")).otherwise(both))
 
     if steps:
         point = F.aggregate(F.array(*steps), point, turn)
-    # Gray code along the axes.
-    gray = F.aggregate(
-        point,
-        F.array().cast("array<bigint>"),
-        lambda acc, v: F.concat(
-            acc, F.array(F.when(F.size(acc) == 0, v).otherwise(v.bitwiseXOR(F.element_at(acc, -1))))
-        ),
-    )
+
+    def gray(x: Column) -> Column:
+        """Gray code along the axes: each xor all before it."""
+        parts = [F.shiftleft(x, i * bits) for i in range(n)]
+        return reduce(lambda a, b: a.bitwiseXOR(b), parts).bitwiseAND(F.lit((1 << (n * bits)) - 1))
 
     def finish(x: Column) -> Column:
-        last = F.element_at(x, -1)
+        last = F.shiftright(x, (n - 1) * bits)
         flip = reduce(
             lambda t, q: t.bitwiseXOR(
                 F.when(last.bitwiseAND(F.lit(q)) != 0, F.lit(q - 1)).otherwise(F.lit(0))
@@ -73,18 +70,32 @@ def curve_index(axes: list[Column], bits: int) -> Column:
             levels,
             F.lit(0).cast("long"),
         )
-        return F.transform(x, lambda v: v.bitwiseXOR(flip))
+        return x.bitwiseXOR(flip * copies)
 
     def interleave(x: Column) -> Column:
         out = F.lit(0).cast("long")
         for b in range(bits - 1, -1, -1):
             for i in range(n):
-                bit = F.shiftright(x[i], b).bitwiseAND(F.lit(1).cast("long"))
+                bit = F.shiftright(x, i * bits + b).bitwiseAND(F.lit(1).cast("long"))
                 out = out * 2 + bit
         return out
 
-    finished = F.transform(F.array(gray), finish)
-    return F.element_at(F.transform(finished, interleave), 1)
+    for step in (gray, finish, interleave):
+        point = F.element_at(F.transform(F.array(point), step), 1)
+    return point
+
+
+def cell(value: Column, bounds: list[float]) -> Column:
+    """How many distinct bounds are at or below ``value``, by halving; 0 for NULL. NaN is above all numbers."""
+    rising = sorted(set(bounds), key=lambda b: (b != b, b))
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value >= F.lit(rising[middle]), among(middle + 1, high)).otherwise(among(low, middle))
+
+    return among(0, len(rising))
 
 
 def hilbert_shards(
@@ -114,14 +125,7 @@ def hilbert_shards(
     ).first()
     axes = []
     for i, d in enumerate(dimensions):
-        value = ordinal(d, kinds[d])
-        bounds = sorted(set(marks[i] or []))
-        above = reduce(
-            lambda a, b: a + b,
-            [(value >= F.lit(b)).cast("int") for b in bounds],
-            F.lit(0),
-        )
-        axes.append(F.coalesce(above, F.lit(0)))
+        axes.append(cell(ordinal(d, kinds[d]), marks[i] or []))
     placed = rows.withColumns(
         {"curve": curve_index(axes, bits), "__read": F.monotonically_increasing_id()}
     )
@@ -159,12 +163,16 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     Dimensions are language, source and size; equal texts at one place of the curve stand together.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    rows = docs.select(
-        "doc_id",
-        "lang",
-        "source",
-        size.alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    # Written once without the texts, as quantiles, ranges and sorting each read the rows anew.
+    rows = stored(
+        docs.select(
+            "doc_id",
+            "lang",
+            "source",
+            size.alias("size"),
+            F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        ),
+        "sizes",
     )
     placed = hilbert_shards(rows, ["lang", "source", "size"], shards, ties=("text_crc32", "doc_id"))
     return placed.select(
